@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import mixing, quality_rules
+from lodestrand.llm import mixing, quality_rules, secrets, simhash, warc
 from lodestrand.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +54,31 @@ FROM p
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS least,
+         list_transform(range(0, 20), lambda i: ((instr('0123456789abcdef', substr(h, 2 * i::INT + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 2 * i::INT + 2, 1)) - 1)::BIGINT) AS b
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((b[(5 * k // 8)::INT + 1] * 256 + coalesce(b[(5 * k // 8)::INT + 2], 0)) >> (11 - 5 * k % 8)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN least = page_id THEN NULL ELSE least END AS refers_to
+FROM bits
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trusted = quality_rules.trusted_ids(labels)
@@ -59,5 +88,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs.select("doc_id", "text"), model, threshold=threshold).select(*columns)
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op4_mixing": OP4_SQL}
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op4_mixing": op4_mixing,
+    "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL}
