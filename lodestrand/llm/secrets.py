@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestrand.llm.common import arrow_rows
+from lodestrand.shipping import ship
 
 KINDS = ("assign", "access", "hex", "der", "ssh", "token")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -207,6 +208,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     span: counts are 0 and spans is empty.  Null and repeated keys give a row each.
     Other columns aren't read.  No row moves between tasks.
     """
+    ship(docs.sparkSession)
     rows = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS STRING) AS text")
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_scan, f"key {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long").withColumnRenamed("key", key)
@@ -237,6 +239,7 @@ def _redact(batches):
 
 def redact_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by a mark; nulls stay null."""
+    ship(docs.sparkSession)
     schema = docs.schema
     renamed = docs.withColumnsRenamed({text: "text"}) if text != "text" else docs
     return renamed.mapInArrow(_redact, renamed.schema).toDF(*schema.names)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_rows, partitions, settled
+from lodestrand.shipping import ship
 
 BITS, RADIUS, SHINGLE, SEED, FANOUT = 64, 4, 4, 42, 8
 #: Rows that one step of a search may hold.
@@ -61,6 +62,7 @@ def _fingerprints(size: int, seed: int):
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """key, fp (the fingerprint's bits as a signed long) of every document."""
+    ship(docs.sparkSession)
     rows = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS STRING) AS text")
     return rows.mapInArrow(_fingerprints(size, seed), f"key {rows.schema['key'].dataType.simpleString()}, fp long")
 
@@ -216,6 +218,7 @@ def _links(radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b (long): links between distinct fingerprints fp that join what chains of
     pairs within the radius join."""
+    ship(distinct.sparkSession)
     filed = distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp")
     filed = filed.repartition(partitions(distinct.sparkSession), "pair", "bits").sortWithinPartitions("pair", "bits")
     return filed.mapInArrow(_links(radius), "a long, b long").distinct()

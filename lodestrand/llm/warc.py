@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import arrow_rows, partitions, settled, shared_path
+from lodestrand.shipping import ship
 
 CHUNK_BYTES = 1 << 16
 #: Payloads of fewer bytes are never written as revisits.
@@ -124,7 +125,8 @@ def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", h
     as such and is never referred to.  Rows with equal keys and payloads are responses
     alike.
     """
-    spark, kind = pages.sparkSession, pages.schema[key].dataType.simpleString()
+    ship(pages.sparkSession)
+    kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("*", F.xxhash64("payload").alias("mark"))
     digests = chunk_rows(rows.drop("url"), "payload", chunk_bytes).mapInArrow(_digests, "key string, mark long, payload_bytes long, payload_digest string")
@@ -221,6 +223,7 @@ def read(archives: DataFrame, root: str, chunk_bytes: int = CHUNK_BYTES, with_da
 
     A response whose payload doesn't have the digest in its headers is an error.
     """
+    ship(archives.sparkSession)
     spread = archives.select("path").repartition(partitions(archives.sparkSession))
     schema = "key string, record_type string, url string, chunk_no int, last boolean, size_so_far long, digest_so_far string, payload_bytes long, payload_digest string, refers_to string, data binary"
     return spread.mapInArrow(_reader(root, chunk_bytes, with_data), schema)
