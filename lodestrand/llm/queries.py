@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import decontaminate, mixing, quality_cnn, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, warc
+from lodestrand.llm import decontaminate, mixing, pii, quality_cnn, quality_rules, secrets, simhash, substring_dedup, suffix_dedup, warc
 from lodestrand.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -112,6 +116,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
