@@ -135,7 +135,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
             # Only the positions that were the greatest have a share in the result.
             c, f = np.nonzero(dp)
             bytes_at = chunks[c[:, None], (place[c, f] * STRIDE)[:, None] + np.arange(WIDTH)]
-            seen = net["embed"][bytes_at].reshape(len(c), -1)
+            seen = net["embed"][bytes_at].reshape(len(c), WIDTH * EMBED)
             share = dp[c, f][:, None]
             grad["filters"] = np.zeros_like(net["filters"])
             for k in range(FILTERS):
