@@ -26,7 +26,7 @@ from lodestrand.shipping import ship
 #: Anchors travel as so many bits; hashes that collide only cost a closer look.
 HASH_BITS = 48
 #: Batches for each shuffle partition, and units that are worked on at once.
-BATCHES, PIECE = 4, 1 << 20
+BATCHES, PIECE = 8, 1 << 18
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95)
 
 
@@ -54,7 +54,7 @@ def gram_hashes(units: np.ndarray, size: int, base: int = 0) -> np.ndarray:
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
     """For each run of `width` values, the place of its least, the first of equals."""
-    value, place, have = values, np.arange(len(values), dtype=np.int64), 1
+    value, place, have = values, np.arange(len(values), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
         later = value[step:] < value[:-step]
@@ -74,23 +74,25 @@ class Runs:
     def __init__(self, units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
         """bounds: where each document begins, and the end of the last."""
         parts = []
-        lengths = np.diff(bounds)
-        ends = np.repeat(bounds[1:], lengths)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
         for at in range(0, len(units), PIECE):  # windows that start in this piece
             part = units[at : at + PIECE + window - 1]
             if len(part) < window:
                 break
             grams = gram_hashes(part, gram)
             chosen = least_places(grams, window - gram + 1)
-            start = np.arange(at, at + len(chosen))
-            inside = start + window <= ends[at : at + len(chosen)]
-            start, chosen = start[inside], chosen[inside]
+            near = np.arange(*np.searchsorted(bounds, [at, at + len(chosen) + window - 1], "right"))  # documents that end among these windows
+            inside = np.ones(len(chosen), bool)
+            for end in bounds[near[near < len(bounds)]].tolist():
+                inside[max(0, end - window + 1 - at) : max(0, end - at)] = False
+            start = np.flatnonzero(inside)
             if not len(start):
                 continue
+            chosen = chosen[start]
+            start += at
             head = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (chosen[1:] != chosen[:-1])])
             last = start[np.r_[head[1:], len(start)] - 1]
-            parts.append((start[head], last, grams[chosen[head]] >> np.uint64(64 - HASH_BITS), owner[start[head]]))
+            owner = np.searchsorted(bounds, start[head], "right") - 1
+            parts.append((start[head], last, grams[chosen[head]] >> np.uint64(64 - HASH_BITS), owner))
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.first, self.last, self.h, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
 

@@ -30,8 +30,8 @@ WINDOW, GRAM = 50, 20
 #: Distinct contexts that one suffix array holds.  An anchor with more is told apart by
 #: the whole windows' bytes, which needs no order.
 CONTEXTS = 32
-#: Symbols that are sorted at once.
-SORT_AT_ONCE = 1 << 20
+#: Symbols that are sorted at once, and parts of a bucket that are judged one by one.
+SORT_AT_ONCE, PARTS = 1 << 19, 8
 _UNITS = an.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -125,13 +125,10 @@ def _runs(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> an.Ru
     return an.Runs(_UNITS[data], bounds, window, gram)
 
 
-def _contexts(data: np.ndarray, runs: an.Runs, window: int) -> tuple[list[bytes], np.ndarray]:
-    """The bytes of each run's windows, and their digests."""
-    raw = data.tobytes()
-    texts = [raw[a:b] for a, b in zip(runs.first.tolist(), (runs.last + window).tolist(), strict=True)]
-    digest = xxhash.xxh3_128_intdigest
-    halves = np.frombuffer(b"".join(digest(t).to_bytes(16, "little") for t in texts), "<u8").reshape(-1, 2)
-    return texts, halves
+def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of data[begin:end], as two numbers each."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def _seeds(window: int, gram: int, buckets: int):
@@ -155,19 +152,17 @@ def _send(window: int, gram: int, buckets: int):
         data, bounds, keys = _laid_out(left)
         runs = _runs(data, bounds, window, gram)
         runs = runs.only(an.among(runs.h, an.answered(right)))
-        texts, digests = _contexts(data, runs, window)
+        digests = _digests(data, runs.first, runs.last + window)
         order = np.lexsort((digests[:, 1], digests[:, 0], runs.h))
         h, digests, doc = runs.h[order], digests[order], keys[runs.doc[order]]
         if not len(h):
             return an.parcels([])
         head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (digests[1:] != digests[:-1]).any(1)])
         least, most = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-        h, digests, texts = h[head], digests[head], [texts[i] for i in order[head].tolist()]
-        size = np.array([len(t) for t in texts], np.int32)
+        h, begin, size = h[head], runs.first[order[head]], (runs.last - runs.first)[order[head]] + window
         rows = []
         for k, s in an.cut(h, buckets):
-            body = np.frombuffer(b"".join(texts[s]), np.uint8)
-            rows.append((k, key[0].as_py(), an.pack(h=h[s], digest=digests[s], least=least[s], most=most[s], size=size[s], body=body)))
+            rows.append((k, key[0].as_py(), an.pack(h=h[s], least=least[s], most=most[s], size=size[s].astype(np.uint8 if window < 100 else np.int32), body=data[_spans(begin[s], size[s])])))
         return an.parcels(rows)
 
     return run
@@ -233,41 +228,56 @@ def _least_by_bytes(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, leas
     return out
 
 
+def _judged(sent: list[dict[str, np.ndarray]], window: int) -> list[dict[str, np.ndarray] | None]:
+    """What each sender is told about its contexts, if some document of its loses bytes by them."""
+    who = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
+    h, least, most, size, body = (np.concatenate([x[c] for x in sent]) for c in ("h", "least", "most", "size", "body"))
+    size = size.astype(np.int64)
+    begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+    digest = _digests(body, begin, begin + size)
+    order = np.lexsort((digest[:, 1], digest[:, 0], h))
+    head = np.r_[True, (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1)]
+    heads = np.flatnonzero(head)
+    context = np.empty(len(h), np.int64)  # of each row, its context among the distinct ones
+    context[order] = np.cumsum(head) - 1
+    one = order[heads]
+    low = np.minimum.reduceat(least[order], heads)
+    begin, size = begin[one], size[one]
+    _, of_anchor, contexts = np.unique(h[one], return_inverse=True, return_counts=True)
+    contexts = contexts[of_anchor]
+    count = size - window + 1
+    at = np.r_[0, np.cumsum(count)]
+    found = np.repeat(low, count)  # what an anchor with one context needs
+    for chosen, way in ((np.flatnonzero((contexts > 1) & (contexts <= CONTEXTS)), class_least), (np.flatnonzero(contexts > CONTEXTS), _least_by_bytes)):
+        if len(chosen):
+            found[_spans(at[chosen], count[chosen])] = way(body, begin[chosen], size[chosen], low[chosen], of_anchor[chosen], window)
+    smallest = np.minimum.reduceat(found, at[:-1])
+    told = np.flatnonzero(smallest[context] < most)
+    told = told[np.argsort(who[told], kind="stable")]
+    cuts, out = np.searchsorted(who[told], np.arange(len(sent) + 1)), []
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        mine = told[lo:hi]  # a sender's rows are sorted by h
+        c = context[mine]
+        out.append({"h": h[mine], "digest": digest[mine, 0], "count": count[c].astype(np.int32), "least": found[_spans(at[c], count[c])]} if hi > lo else None)
+    return out
+
+
 def _judge(window: int):
     def run(table: pa.Table) -> pa.Table:
+        b, bucket = table.column("b").to_pylist(), table.column("bucket")[0].as_py()
         sent = [an.unpack(x.as_py()) for x in table.column("data")]
-        who = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
-        h, digest, least, most, size, body = (np.concatenate([x[c] for x in sent]) for c in ("h", "digest", "least", "most", "size", "body"))
-        size = size.astype(np.int64)
-        begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
-        order = np.lexsort((digest[:, 1], digest[:, 0], h))
-        head = np.r_[True, (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1)]
-        heads = np.flatnonzero(head)
-        context = np.empty(len(h), np.int64)  # of each row, its context among the distinct ones
-        context[order] = np.cumsum(head) - 1
-        one = order[heads]
-        low = np.minimum.reduceat(least[order], heads)
-        begin, size, anchor = begin[one], size[one], h[one]
-        _, of_anchor, contexts = np.unique(anchor, return_inverse=True, return_counts=True)
-        contexts = contexts[of_anchor]
-        count = size - window + 1
-        at = np.r_[0, np.cumsum(count)]
-        found = np.repeat(low, count)  # what an anchor with one context needs
-        for chosen, way in ((np.flatnonzero((contexts > 1) & (contexts <= CONTEXTS)), class_least), (np.flatnonzero(contexts > CONTEXTS), _least_by_bytes)):
-            if len(chosen):
-                found[_spans(at[chosen], count[chosen])] = way(body, begin[chosen], size[chosen], low[chosen], of_anchor[chosen], window)
-        smallest = np.minimum.reduceat(found, at[:-1])
-        told = np.flatnonzero(smallest[context] < most)  # some document of the batch loses bytes
-        told = told[np.argsort(who[told], kind="stable")]
-        cuts = np.searchsorted(who[told], np.arange(len(sent) + 1))
-        b, bucket, rows = table.column("b").to_pylist(), table.column("bucket")[0].as_py(), []
-        for i in range(len(sent)):
-            mine = told[cuts[i] : cuts[i + 1]]
-            if len(mine):
-                mine = mine[np.argsort(h[mine], kind="stable")]
-                c = context[mine]
-                rows.append((bucket, b[i], an.pack(h=h[mine], digest=digest[mine], count=count[c].astype(np.int32), least=found[_spans(at[c], count[c])])))
-        return an.parcels(rows)
+        del table
+        # Part after part of the bucket's hashes, so that little is laid out at once.
+        limits = np.quantile(np.concatenate([x["h"] for x in sent]).astype(np.float64), np.arange(1, PARTS) / PARTS).astype(np.uint64)
+        rows_at = [np.r_[0, np.searchsorted(x["h"], limits), len(x["h"])] for x in sent]
+        bytes_at = [np.r_[0, np.cumsum(x["size"], dtype=np.int64)][r] for x, r in zip(sent, rows_at, strict=True)]
+        answers: list[list[dict[str, np.ndarray]]] = [[] for _ in sent]
+        for k in range(PARTS):
+            part = [{c: v[y[k] : y[k + 1]] if c == "body" else v[r[k] : r[k + 1]] for c, v in x.items()} for x, r, y in zip(sent, rows_at, bytes_at, strict=True)]
+            if any(len(x["h"]) for x in part):
+                for mine, told in zip(answers, _judged(part, window), strict=True):
+                    mine += [told] if told else []
+        return an.parcels([(bucket, b[i], an.pack(**{c: np.concatenate([x[c] for x in mine]) for c in mine[0]})) for i, mine in enumerate(answers) if mine])
 
     return run
 
@@ -281,13 +291,12 @@ def _cut_out(window: int, gram: int, with_text: bool):
             h, digest, count, least = (np.concatenate([x[c] for x in told]) for c in ("h", "digest", "count", "least"))
             runs = _runs(data, bounds, window, gram)
             runs = runs.only(an.among(runs.h, np.sort(h)))
-            _, mine = _contexts(data, runs, window)
-            # One number for each context: of equal digests all 128 bits are compared.
-            both, number = np.unique(np.concatenate([digest, mine]), axis=0, return_inverse=True)
-            row = np.full(len(both), -1)
-            row[number[: len(digest)]] = np.arange(len(digest))
-            row = row[number[len(digest) :]]
-            runs, row = runs.only(row >= 0), row[row >= 0]
+            mine = _digests(data, runs.first, runs.last + window)[:, 0]
+            # A context is known by its anchor's hash and half of its digest, 112 bits.
+            both = np.rec.fromarrays([np.r_[h, runs.h], np.r_[digest, mine]])
+            _, first, number = np.unique(both, return_index=True, return_inverse=True)
+            row = first[number[len(h) :]]
+            runs, row = runs.only(row < len(h)), row[row < len(h)]
             begin = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
             limits = least[_spans(begin[row], count[row].astype(np.int64))]
             starts = runs.starts()
