@@ -19,7 +19,7 @@ def test_stages_on_the_small_tables(spark):
         assert docs.columns == columns
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "quality rules":
-            assert 0.7 * len(before) < len(after) < len(before)
+            assert 0.5 * len(before) < len(after) < len(before)
         elif name == "near duplicates":
             groups = plain_components([(i, plain_fingerprint(t, cp.SHINGLE)) for i, t in before.items()], cp.RADIUS)
             assert set(after) == {k for k, _, c in groups if k == c}
