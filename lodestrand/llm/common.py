@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.storage import partitions, settled, shared_path  # noqa: F401  for the operators
+
 #: A word: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id in join keys; such rows rank after all others.
@@ -27,45 +28,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's width of a shuffle: the one knob that follows the data's size."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (tests in one JVM) is one set here.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = f"/tmp/lodestrand-checkpoints-{uuid.uuid4().hex}"
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/lodestrand-{what}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends there,
-    and lost executors take nothing along."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, whatever its letters' case."""
     taken, out = {c.lower() for c in df.columns}, []
