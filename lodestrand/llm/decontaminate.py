@@ -71,6 +71,10 @@ class BenchmarkIndex:
         found = [shingles(u, size) for _, u in units]
         self.shingles = [Counter(s.tolist()) for s in found]
         self.known = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.lengths: dict[int, set[int]] = {}  # of the items with a shingle
+        for own, n in zip(self.shingles, self.words.tolist(), strict=True):
+            for s in own:
+                self.lengths.setdefault(s, set()).add(n)
         self.prints = np.array([packed(votes(s)[-1:])[0] for s in found], np.uint64)
         near = [0]
         for flips in range(1, radius // BLOCKS + 1):
@@ -102,12 +106,16 @@ class BenchmarkIndex:
         if not len(units) or not len(self.keys):
             return []
         best: dict[int, tuple[float, int, int]] = {}
-        for length in np.unique(np.minimum(self.words, len(units))).tolist():
-            size = min(self.size, length)
-            grams = gram_hashes(units, size)
-            hits = np.flatnonzero(among(grams, self.known))
-            if not len(hits):
+        grams_of, hits_of = {}, {}
+        # Items shorter than a shingle are shingles of their own size.
+        for size in {min(self.size, n, len(units)) for n in self.words.tolist()} if self.words.min() < self.size else {min(self.size, len(units))}:
+            grams_of[size] = gram_hashes(units, size)
+            hits_of[size] = np.flatnonzero(among(grams_of[size], self.known))
+        wanted = {(size, min(n, len(units))) for size, hits in hits_of.items() for g in np.unique(grams_of[size][hits]).tolist() for n in self.lengths[g]}
+        for size, length in sorted(wanted):
+            if size != min(self.size, length):
                 continue
+            grams, hits = grams_of[size], hits_of[size]
             span = length - size + 1  # shingles of a window
             mark = np.zeros(len(units) - length + 2, np.int32)
             np.add.at(mark, np.maximum(0, hits - span + 1), 1)
