@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,21 @@ class StoreError(ValueError):
 
 
 class Tables:
-    """Tables by name, from anywhere: what queries and operators run on."""
+    """Tables by name, from anywhere: what queries and operators run on.
+
+    A table may be given as a function, which is called when the table is first asked for.
+    """
 
-    def __init__(self, **tables: DataFrame):
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         self._tables = tables
 
     def __getattr__(self, name: str) -> DataFrame:
-        try:
-            return self.__dict__["_tables"][name]
-        except KeyError:
-            raise AttributeError(name) from None
+        tables = self.__dict__["_tables"]
+        if name not in tables:
+            raise AttributeError(name)
+        if not isinstance(tables[name], DataFrame):
+            tables[name] = tables[name]()
+        return tables[name]
 
 
 class GraphStore:
