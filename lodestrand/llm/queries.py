@@ -24,6 +24,33 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: A string of 50 bytes is compared as five keys of ten.
+OP3_SQL = r"""
+WITH b AS (
+  SELECT doc_id, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS byte, unnest(range(0, octet_length(encode(coalesce(text, ''))))) AS pos
+  FROM documents
+), tens AS (
+  SELECT *, byte || lead(byte, 1) OVER o || lead(byte, 2) OVER o || lead(byte, 3) OVER o || lead(byte, 4) OVER o
+            || lead(byte, 5) OVER o || lead(byte, 6) OVER o || lead(byte, 7) OVER o || lead(byte, 8) OVER o || lead(byte, 9) OVER o AS k
+  FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), strings AS (
+  SELECT doc_id, pos, byte, k, lead(k, 10) OVER o AS k10, lead(k, 20) OVER o AS k20, lead(k, 30) OVER o AS k30, lead(k, 40) OVER o AS k40
+  FROM tens WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), judged AS (
+  SELECT doc_id, pos, byte, k40 IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY k, k10, k20, k30, k40) AS seen FROM strings
+), covered AS (
+  SELECT doc_id, pos, byte, bool_or(seen) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM covered
+), kept AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS rest
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +94,34 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: A window of 35 words is compared as five keys of seven.
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word,
+         unnest(range(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1)) AS pos
+  FROM documents
+), sevens AS (
+  SELECT *, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o
+            || ' ' || lead(word, 4) OVER o || ' ' || lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o AS k
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), windows AS (
+  SELECT doc_id, pos, word, k, lead(k, 7) OVER o AS k7, lead(k, 14) OVER o AS k14, lead(k, 21) OVER o AS k21, lead(k, 28) OVER o AS k28
+  FROM sevens WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), judged AS (
+  SELECT doc_id, pos, word, k28 IS NOT NULL AND count(*) OVER (PARTITION BY k, k7, k14, k21, k28) > 1 AS repeats FROM windows
+), covered AS (
+  SELECT doc_id, pos, word, bool_or(repeats) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM covered
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_repeats, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS rest
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_repeats, 0)::BIGINT AS n_repeats, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -121,4 +176,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op3_suffix_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL}

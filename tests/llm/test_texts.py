@@ -171,3 +171,14 @@ def test_classifier_of_odd_rows(spark):
     a, b = quality_cnn.scores(net, ["x" * 5000, "yz"] * 40), quality_cnn.scores(net, ["yz"])
     assert abs(a[1] - b[0]) < 1e-6
     assert df.select(quality_cnn.held_out()).collect()[3][0] is False
+
+
+def test_sql_of_the_dedup_queries_against_plain():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    assert collections.Counter(con.execute(queries.OP3_SQL).fetchall()) == plain_bytes(rows)
+    words = con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({queries.OP5_SQL})").fetchall()
+    assert collections.Counter(words) == plain_words(rows)
