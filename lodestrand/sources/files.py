@@ -24,8 +24,8 @@ def walk(spark: SparkSession, folder: str, blacklist: list[str] | None = None, w
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """Those of walk() that aren't binary, with text."""
-    return files.filter(~binary(F.col("content"))).withColumn("text", F.decode("content", "UTF-8"))
+    """Those of walk() that aren't binary, with text; bytes that aren't UTF-8 become U+FFFD."""
+    return files.filter(~binary(F.col("content"))).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def watch(spark: SparkSession, folder: str, glob: str = "*", per_trigger: int = 5) -> DataFrame:
