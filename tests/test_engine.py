@@ -90,6 +90,8 @@ def test_walk_and_sniff(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in rows.collect()} == {"a.py", "b.png"}
     (text,) = files.texts(rows).collect()
     assert text.text == "print(1)\n" and text.content_hash == hashlib.sha256(b"print(1)\n").hexdigest()
+    (tmp_path / "d" / "c.txt").write_bytes(b"caf\xe9\n")
+    assert {r.text for r in files.texts(files.walk(spark, str(tmp_path / "d"))).collect()} == {"print(1)\n", "caf\ufffd\n"}
     assert not is_binary(b"") and is_binary(b"a\x00b") and not is_binary(b"  <html>\x01")
 
 
@@ -175,3 +177,34 @@ def test_lookups(spark):
     assert registry.delete_edges(edges, 1).collect() == []
     left, rest = registry.delete_entities(entities, edges, entities.filter("id = 2"))
     assert left.count() == 2 and [r.target_entity_id for r in rest.collect()] == [3]
+
+
+def test_engine_end_to_end(spark, tmp_path):
+    from lodestrand.engine import Engine
+
+    class Model:
+        def complete(self, prompt):
+            return '{"chunk":1,"source":"Fun","source_type":"FUNCTION","target":"Gun","target_type":"TYPE","relation_type":"calls"}'
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.py").write_text("def parse(tokens):\n    return tree\n" * 4)
+    (folder / "b.txt").write_bytes(b"caf\xe9 menu with prices and cakes\n" * 6)
+    (folder / "c.png").write_bytes(b"\x89PNG\r\n\x1a\n123")
+    engine = Engine(spark, str(tmp_path / "s"), extractor=Model(), dim=64, windows=Windows(60, 20, 10, 1000))
+    assert engine.index_folder(str(folder)) == 3 and engine.index_folder(str(folder)) == 0
+    hits = engine.search("def parse(tokens):\n    return tree\n", 2).collect()
+    assert hits and all(r.path.endswith("a.py") for r in hits)
+    n, ids = engine.store.chunks.count(), [r.chunk_id for r in engine.store.chunks.collect()]
+    assert len(set(ids)) == n
+    assert engine.search("cakes", 50, under=str(tmp_path / "none")).collect() == []
+    (folder / "b.txt").write_text("entirely new words about rivers\n" * 6)
+    assert engine.index_folder(str(folder)) == 1
+    assert {r.status for r in engine.store.files.collect()} == {"indexed"} and engine.store.files.count() == 3
+    engine.store.write("files", registry.mark_processing(engine.store.files, engine.store.files.filter("path LIKE '%a.py'")))
+    assert engine.index_folder(str(folder)) == 1 and engine.store.chunks.count() == engine.store.chunks.select("chunk_id").distinct().count()
+    assert engine.sql("SELECT COUNT(*) AS n FROM {chunks} WHERE content_snippet LIKE :p", p="%cakes%").first().n == 0
+    assert engine.extract_graph() == engine.store.chunks.count() and engine.extract_graph() == 0
+    assert [tuple(r) for r in engine.query("MATCH (a:FUNCTION)-[:calls]->(b) RETURN b.name").collect()] == [("Gun",)]
+    assert engine.hybrid_search("rivers", 3).count() == 3
+    assert "Files: 3" in engine.status() and "indexed: 3" in engine.status()
