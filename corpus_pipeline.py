@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm import decontaminate, mixing, quality_rules, secrets, simhash
+from lodestrand.llm import decontaminate, mixing, quality_rules, secrets, similar
 from lodestrand.llm.common import settled, table
 
-#: Near duplicates in the pipeline: five words a shingle, and a radius for a
-#: similarity of 0.8 or more; README has what it finds of that.
-SHINGLE, RADIUS = 5, 6
+#: Near duplicates in the pipeline: sets of five-word shingles with a similarity of 0.8
+#: or more; the radius is that of the search for candidates.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, similar.RADIUS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row without an id can't stand for a group and is left as it is; of rows that
     share an id one stays.
     """
-    near = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"), size=SHINGLE, radius=RADIUS)
-    chosen = near.filter("doc_id = component_id").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(chosen, "doc_id", "left_semi").select("*", F.row_number().over(first).alias("_row")).filter("_row = 1").drop("_row")
+    rows, groups, row = similar.grouped(docs.filter("doc_id IS NOT NULL"), size=SHINGLE, similarity=SIMILARITY, radius=RADIUS)
+    of_rows = rows.select(F.col(row).alias("_id"), "doc_id", F.xxhash64("text").alias("_hash")).join(groups, F.col("_id") == F.col("_r"))
+    first = of_rows.groupBy("_g").agg(F.min(F.struct("doc_id", "_hash", "_id")).alias("_first")).select(F.col("_first._id").alias("_id"))
+    kept = rows.join(first, F.col(row) == F.col("_id"), "left_semi").drop(row)
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -25,6 +25,8 @@ BITS, RADIUS, SHINGLE, SEED, FANOUT = 64, 4, 4, 42, 8
 FRONTIER = 2_000_000
 #: Rows of the sorted file that are gathered before their whole keys are searched.
 GATHER = 200_000
+#: Pairs that are judged at a time, before those that they joined are left out.
+JUDGED = 1024
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int) -> np.ndarray:
@@ -150,11 +152,13 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def group_links(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join, within each group, exactly what chains of pairs within the radius join.
+def group_labels(groups: np.ndarray, values: np.ndarray, radius: int, same=None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the tree, and for each number in it the first that chains of pairs
+    within the radius reach in its group.
 
-    Each number is linked once at most, to the first of its set; what a search would
-    find twice is left out, so a dense group costs about its size and not its square.
+    With `same` (two arrays of places in `values` to a truth each) only pairs of which
+    it is true join.  What a search would find twice is left out and pairs that are
+    joined already aren't judged, so a dense group costs about its size and not its square.
     """
     index = GrayIndex(groups, values)
     n = len(values)
@@ -174,13 +178,31 @@ def group_links(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np
             step = max(1, step // 8)
             continue
         at, step = at + step, min(65536, step * 2)
-        if len(found[0]):
-            labels = merged(labels, *found)
-            fresh += len(found[0])
-            if fresh > n // 16:
-                whole, fresh = wholes(), 0
-    linked = np.flatnonzero(labels != np.arange(n))
-    return index.values[linked], index.values[labels[linked]]
+        a, b = found
+        while len(a):
+            part = len(a) if same is None else JUDGED
+            x, y = a[:part], b[:part]
+            if same is not None:
+                true = same(index.order[x], index.order[y])
+                x, y = x[true], y[true]
+            labels = merged(labels, x, y)
+            fresh += len(x)
+            a, b = a[part:], b[part:]
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
+        if fresh > n // 16:
+            whole, fresh = wholes(), 0
+    return index.order, labels
+
+
+def group_links(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, within each group, exactly what chains of pairs within the radius join.
+
+    Each number is linked once at most, to the first of its set.
+    """
+    order, labels = group_labels(groups, values, radius)
+    linked = np.flatnonzero(labels != np.arange(len(values)))
+    return values[order][linked], values[order][labels[linked]]
 
 
 def _links(radius: int):
