@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
-from tests.llm.test_small_ops import SF, WS, odd_docs
+from lodestrand.llm import similar, simhash
+from tests.llm.test_small_ops import SF, WS, odd_docs, plain_fingerprint
 
 
 def shingles(text):
@@ -59,3 +62,23 @@ def test_small_table_has_the_exact_groups(spark):
     want, pairs = plain_kept({r.doc_id: r.text for r in docs.collect()})
     assert len(pairs) == 2  # 11 and 17 bits apart
     assert {r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()} == want
+
+
+def test_near_fingerprints_below_the_similarity_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id IN (155, 192)")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    a, b = (plain_fingerprint(t, cp.SHINGLE) for t in texts.values())
+    assert (a ^ b).bit_count() <= 6 and alike(*map(shingles, texts.values())) < 0.8
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()} == {155, 192}
+
+
+def test_families_join_only_by_pairs_of_the_similarity():
+    rng, sets = np.random.default_rng(3), []
+    for centre in range(4):  # chains whose ends are far apart, and members just below the bound
+        pool = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+        sets += [pool[k : k + 60] for k in range(0, 300, 5 + centre)]
+    got_order, got = similar.verified_labels(np.array([similar.set_print(s) for s in sets], np.uint64), sets, 0.8, 64)
+    mine = simhash.merged(np.arange(len(sets)), got_order, got_order[got])
+    near = np.array([[alike(frozenset(a.tolist()), frozenset(b.tolist())) >= 0.8 for b in sets] for a in sets])
+    assert (mine == simhash.merged(np.arange(len(sets)), *np.nonzero(near))).all()
+    assert len(set(mine.tolist())) > 4
