@@ -26,8 +26,14 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 # Runs of these classes are maximal, so asking for the length at once drops what is shorter.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*")
-ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+# What starts a key at any offset: 0x30 and a length, or the OpenSSH magic.
+BASE64_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjE")
+HEX_START = re.compile(r"30(?:8[1-4]|[0-7])|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]7631")
+# Lines of a key go on over bare or escaped line ends, indents and spaces.
+GAP = r"(?:[ \t]|\r|\n|\\+[rnt])+"
+BASE64_MORE, HEX_MORE = re.compile(GAP + r"([A-Za-z0-9+/_-]+)"), re.compile(GAP + r"([0-9A-Fa-f]+)")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?")
 SSH_MAGIC = b"openssh-key-v1\x00"
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
@@ -134,31 +140,57 @@ def is_token(text: str) -> bool:
     return isinstance(head.get("enc"), str) if len(parts) == 5 else _json(parts[1]) is not None
 
 
+def _stated_length(head: bytes) -> int:
+    """Bytes of the DER sequence that starts with head, if its first element may be a key's; else 0."""
+    if len(head) < 2 or head[0] != SEQUENCE:
+        return 0
+    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    n = int.from_bytes(head[2:at], "big") if at > 2 else head[1]
+    return at + n if at < len(head) and head[at] in (INTEGER, SEQUENCE) else 0
+
+
+def _letters(text: str, start: int, end: int, more: re.Pattern, need: int | None) -> tuple[str, list[tuple[int, int]]]:
+    """The letters from start on, over the gaps between lines, and where they are; `need` of them are enough."""
+    spans, have = [(start, end)], end - start
+    while (need is None or have < need) and (m := more.match(text, end)):
+        spans.append(m.span(1))
+        end, have = m.end(), have + m.end() - m.start(1)
+    return "".join(text[a:b] for a, b in spans)[:need], spans
+
+
 def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
     """Spans (start, end, kind) whose decoded bytes have a secret's structure."""
-    for m in BASE64.finditer(text):
-        run = m.group()
-        lines = re.split(r"\r?\n", run)
-        joined = "".join(lines)
-        if not joined.startswith(("M", "b3BlbnNzaC1rZXktdjE")):  # 0x30 as a first byte, and the OpenSSH magic
-            continue
-        data = _decoded(joined)
-        for kind, n in (("der", der_key_length(data)), ("ssh", ssh_key_length(data))):
-            if n:
-                left, at = -(-n * 4 // 3), m.start()
-                while left:  # the letters that encode n bytes, and the line ends among them
-                    if text[at] not in "\r\n":
-                        left -= 1
-                    at += 1
-                while at < len(text) and text[at] == "=" and at - m.start() < len(run) + 2:
-                    at += 1
-                yield m.start(), at, kind
-    for m in ANY_HEX.finditer(text):
-        if m.group().startswith("30"):
-            run = m.group()
-            n = der_key_length(bytes.fromhex(run[: len(run) - len(run) % 2]))
-            if n:
-                yield m.start(), m.start() + 2 * n, "der"
+    for pieces, starts, more, head, size, decoded in (
+        (BASE64, BASE64_START, BASE64_MORE, 12, lambda n: -(-n * 4 // 3), _decoded),
+        (ANY_HEX, HEX_START, HEX_MORE, 18, lambda n: 2 * n, lambda run: bytes.fromhex(run[: len(run) - len(run) % 2])),
+    ):
+        done = 0
+        for m in pieces.finditer(text):
+            at = max(done, m.start())
+            while (start := starts.search(text, at, m.end())) and m.end() - start.start() >= head:
+                first, at = start.start(), start.start() + 1
+                kind, need = "ssh", None
+                if start.group()[0] in "M3":
+                    whole = _stated_length(decoded(text[first : first + head]))
+                    if not whole:
+                        continue
+                    kind, need = "der", size(whole)
+                run, spans = _letters(text, first, m.end(), more, need)
+                if need and len(run) < need:
+                    continue
+                n = (der_key_length if need else ssh_key_length)(decoded(run))
+                if not n:
+                    continue
+                left = size(n)
+                for lo, hi in spans:
+                    end = lo + min(left, hi - lo)
+                    left -= end - lo
+                    if not left:
+                        break
+                while head == 12 and end < len(text) and text[end] == "=" and end - hi < 2:
+                    end += 1
+                yield first, end, kind
+                done = at = end
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if is_token(m.group()):
