@@ -26,7 +26,7 @@ from lodestrand.llm.anchors import among, gram_hashes, mix64
 from lodestrand.llm.common import arrow_rows
 from lodestrand.shipping import ship
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: A block of the benchmark has about this many words and items at most.
 BLOCK_WORDS, BLOCK_ITEMS = 500_000, 4_000
