@@ -29,16 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that has the group's least id.
+    """One row of each group: the one with the least id, then the least text hash.
 
-    A row without an id can't stand for a group and is left as it is; of rows that
-    share an id one stays.
+    Rows are told apart by their own numbers, so those that share an id count each by
+    its text.  Rows without an id are deduplicated among themselves: a group keeps one
+    with an id and one without.
     """
-    rows, groups, row = similar.grouped(docs.filter("doc_id IS NOT NULL"), size=SHINGLE, similarity=SIMILARITY, radius=RADIUS)
+    rows, groups, row = similar.grouped(docs, size=SHINGLE, similarity=SIMILARITY, radius=RADIUS)
     of_rows = rows.select(F.col(row).alias("_id"), "doc_id", F.xxhash64("text").alias("_hash")).join(groups, F.col("_id") == F.col("_r"))
-    first = of_rows.groupBy("_g").agg(F.min(F.struct("doc_id", "_hash", "_id")).alias("_first")).select(F.col("_first._id").alias("_id"))
-    kept = rows.join(first, F.col(row) == F.col("_id"), "left_semi").drop(row)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    first = of_rows.groupBy("_g", F.isnull("doc_id")).agg(F.min(F.struct("doc_id", "_hash", "_id")).alias("_first")).select(F.col("_first._id").alias("_id"))
+    return rows.join(first, F.col(row) == F.col("_id"), "left_semi").drop(row)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,12 @@ def test_families_join_only_by_pairs_of_the_similarity():
     near = np.array([[alike(frozenset(a.tolist()), frozenset(b.tolist())) >= 0.8 for b in sets] for a in sets])
     assert (mine == simhash.merged(np.arange(len(sets)), *np.nonzero(near))).all()
     assert len(set(mine.tolist())) > 4
+
+
+def test_rows_of_one_id_and_rows_without_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    df = odd_docs(spark, [a, b, a, c, c + " end", c, a], [5, 5, 7, None, None, 9, None])
+    got = sorted((str(r.doc_id), r.text) for r in cp.near_duplicates(spark, df, SF).collect())
+    assert [g for g in got if g[0] != "None"] == [("5", a), ("5", b), ("9", c)]
+    alone = [t for i, t in got if i == "None"]
+    assert len(alone) == 2 and a in alone
