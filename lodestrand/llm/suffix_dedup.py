@@ -12,6 +12,11 @@ behind their old ones, by how many members point to them.  When all groups are d
 one pass over the order as it arises emits each group's suffixes, by the order of the
 next smaller suffix.  Nothing is renamed and sorted again.  Many short texts are taken
 through these steps at once.
+
+Equal contexts of an anchor count once.  An anchor with more than CONTEXTS others is cut
+up by further anchors within them, twice at most, and then by single windows, so that
+each suffix array stays short.  An anchor that occurs very often in the corpus is cut
+into parts by its windows' digests before they are sent.
 """
 
 from __future__ import annotations
@@ -20,26 +25,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from lodestrand.llm import anchors as an
-from lodestrand.llm.common import NULL_ID, partitions
+from lodestrand.llm.anchors import spans
+from lodestrand.llm.common import NULL_ID
 
 WINDOW, GRAM = 50, 20
-#: Distinct contexts that one suffix array holds.  An anchor with more is told apart by
-#: the whole windows' bytes, which needs no order.
-CONTEXTS = 32
-#: Symbols that are sorted at once, and parts of a bucket that are judged one by one.
-SORT_AT_ONCE, PARTS = 1 << 19, 8
+#: Distinct contexts that one suffix array holds, and how often a crowded anchor's
+#: contexts are cut by further anchors before they are cut into windows.
+CONTEXTS, LEVELS = 32, 2
+#: Symbols that are sorted at once.
+SORT_AT_ONCE = 1 << 19
 _UNITS = an.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... count[0] numbers, then those of first[1], ..."""
-    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-
-
 def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The suffix arrays of many texts, end to end, as places in `symbols`.
 
@@ -65,7 +65,7 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     while len(top):
         start = group[order[top - 1]]
         count = top - start
-        members, bar = order[_spans(start, count)], np.repeat(start, count)
+        members, bar = order[spans(start, count)], np.repeat(start, count)
         pointer, todo = smaller[members], np.arange(len(members))
         while len(todo):
             p = pointer[todo]
@@ -80,7 +80,7 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             moved, times, old = moved[by], times[by], group[moved][by]
             at = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
             size = np.diff(np.r_[at, len(old)])
-            target, source = _spans(group_end[old[at]] - size, size), place[moved]
+            target, source = spans(group_end[old[at]] - size, size), place[moved]
             vacated[source], wanted[target] = True, True
             stay, gap = order[target[~vacated[target]]], np.sort(source[~wanted[source]])
             vacated[source], wanted[target] = False, False
@@ -121,14 +121,8 @@ def _laid_out(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), bounds, keys
 
 
-def _runs(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> an.Runs:
-    return an.Runs(_UNITS[data], bounds, window, gram)
-
-
-def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """128-bit digests of data[begin:end], as two numbers each."""
-    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), ">u8").astype(np.uint64).reshape(-1, 2)
+def _runs(data: np.ndarray, bounds: np.ndarray, window: int, gram: int, base: int = 0) -> an.Runs:
+    return an.Runs(data, bounds, window, gram, _UNITS, base)
 
 
 def _seeds(window: int, gram: int, buckets: int):
@@ -137,32 +131,62 @@ def _seeds(window: int, gram: int, buckets: int):
         runs = _runs(data, bounds, window, gram)
         order = np.argsort(runs.h, kind="stable")
         h, doc = runs.h[order], keys[runs.doc[order]]
-        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head) if len(h) else np.zeros(0, bool)
-        h = h[head]
-        return an.parcels([(k, key[0].as_py(), an.pack(h=h[s], marked=several[s])) for k, s in an.cut(h, buckets)])
+        if not len(h):
+            return an.parcels([])
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        h, n = h[head], np.diff(np.r_[head, len(h)]).astype(np.uint32)
+        return an.parcels([(k, key[0].as_py(), an.pack(h=h[s], n=n[s], marked=several[s])) for k, s in an.cut(h, buckets)])
 
     return run
 
 
+class _Windows:
+    """The windows of crowded anchors' distinct contexts, each known by its part and digest."""
+
+    def __init__(self, raw: bytes, begin: np.ndarray, size: np.ndarray, h: np.ndarray, parts: np.ndarray, window: int):
+        count = size - window + 1
+        self.at = np.r_[0, np.cumsum(count)]
+        self.start = spans(begin, count)
+        self.digest = an.digests(raw, self.start, self.start + window)
+        self.h = an.part_names(np.repeat(h, count), np.repeat(parts, count), self.digest[:, 0])
+
+
 def _send(window: int, gram: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return an.parcels([])
         data, bounds, keys = _laid_out(left)
+        raw = data.tobytes()
         runs = _runs(data, bounds, window, gram)
-        runs = runs.only(an.among(runs.h, an.answered(right)))
-        digests = _digests(data, runs.first, runs.last + window)
-        order = np.lexsort((digests[:, 1], digests[:, 0], runs.h))
-        h, digests, doc = runs.h[order], digests[order], keys[runs.doc[order]]
-        if not len(h):
+        told, parts = an.answered(right)
+        runs = runs.only(an.among(runs.h, told))
+        if not len(runs.h):
             return an.parcels([])
-        head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (digests[1:] != digests[:-1]).any(1)])
+        digest = an.digests(raw, runs.first, runs.last + window)
+        order, head, _ = an.classes(runs.h, digest)
+        doc, one = keys[runs.doc[order]], order[head]
+        h, begin, size = runs.h[one], runs.first[one], (runs.last - runs.first)[one] + window
         least, most = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-        h, begin, size = h[head], runs.first[order[head]], (runs.last - runs.first)[order[head]] + window
+        parts = parts[np.searchsorted(told, h)]
+        of, crowded = np.zeros(len(h), np.uint64), parts > 1
+        if crowded.any():
+            # Of a crowded anchor windows go one by one, to the part that each belongs to.
+            w = _Windows(raw, begin[crowded], size[crowded], h[crowded], parts[crowded], window)
+            n = np.diff(w.at)
+            order, head, _ = an.classes(w.h, w.digest)
+            one, low, high = order[head], np.repeat(least[crowded], n)[order], np.repeat(most[crowded], n)[order]
+            whole = [
+                (h, w.h[one]), (begin, w.start[one]), (size, np.full(len(one), window)), (least, np.minimum.reduceat(low, head)),
+                (most, np.maximum.reduceat(high, head)), (of, np.repeat(h[crowded], n)[one]), (parts, np.repeat(parts[crowded], n)[one]),
+            ]
+            h, begin, size, least, most, of, parts = (np.concatenate([a[~crowded], b]) for a, b in whole)
+            order = np.argsort(h, kind="stable")
+            h, begin, size, least, most, of, parts = (x[order] for x in (h, begin, size, least, most, of, parts))
         rows = []
         for k, s in an.cut(h, buckets):
-            rows.append((k, key[0].as_py(), an.pack(h=h[s], least=least[s], most=most[s], size=size[s].astype(np.uint8 if window < 100 else np.int32), body=data[_spans(begin[s], size[s])])))
+            body = data[spans(begin[s], size[s])]
+            rows.append((k, key[0].as_py(), an.pack(h=h[s], least=least[s], most=most[s], of=of[s], parts=parts[s], size=size[s].astype(np.uint8 if window < 100 else np.int32), body=body)))
         return an.parcels(rows)
 
     return run
@@ -185,19 +209,19 @@ def class_least(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least: n
     batch = np.cumsum(length[by_length]) // SORT_AT_ONCE
     for k in np.unique(batch):
         chosen = by_length[batch == k]
-        context = _spans(heads[chosen], members[chosen])
+        context = spans(heads[chosen], members[chosen])
         n = size[context] + 1  # a symbol less than any byte ends each context
         at = np.r_[0, np.cumsum(n)]
         symbols = np.ones(at[-1], np.int16)
         inside = np.ones(at[-1], bool)
         inside[at[1:] - 1] = False
-        symbols[inside] = texts[_spans(begin[context], size[context])].astype(np.int16) + 2
+        symbols[inside] = texts[spans(begin[context], size[context])].astype(np.int16) + 2
         ends = np.cumsum(members[chosen])
         symbols[at[ends] - 1] = 0
         sorted_places = suffix_arrays(symbols, np.r_[0, at[ends]])
         # Only starts of whole windows stay; equal ones are neighbours.
         window_no = np.full(at[-1], -1)
-        window_no[_spans(at[:-1], count[context])] = _spans(total[context], count[context])
+        window_no[spans(at[:-1], count[context])] = spans(total[context], count[context])
         places = sorted_places[window_no[sorted_places] >= 0]
         owner = np.repeat(np.repeat(np.arange(len(chosen)), members[chosen]), n)[places]
         equal = owner[1:] == owner[:-1]
@@ -213,101 +237,109 @@ def class_least(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least: n
     return out
 
 
-def _least_by_bytes(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, text_of: np.ndarray, window: int) -> np.ndarray:
-    """As class_least, for anchors of many contexts: windows are grouped by their bytes."""
-    count = size - window + 1
-    out = np.repeat(least, count)
-    start, owner = _spans(begin, count), np.repeat(text_of, count)
-    heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    for lo, hi in zip(heads.tolist(), np.r_[heads[1:], len(owner)].tolist(), strict=True):
-        rows = np.lib.stride_tricks.sliding_window_view(texts, window)[start[lo:hi]]
-        _, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{window}").reshape(-1), return_inverse=True)
-        low = np.full(inverse.max() + 1, NULL_ID)
-        np.minimum.at(low, inverse, out[lo:hi])
-        out[lo:hi] = low[inverse]
-    return out
-
-
-def _judged(sent: list[dict[str, np.ndarray]], window: int) -> list[dict[str, np.ndarray] | None]:
-    """What each sender is told about its contexts, if some document of its loses bytes by them."""
-    who = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
-    h, least, most, size, body = (np.concatenate([x[c] for x in sent]) for c in ("h", "least", "most", "size", "body"))
-    size = size.astype(np.int64)
-    begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
-    digest = _digests(body, begin, begin + size)
-    order = np.lexsort((digest[:, 1], digest[:, 0], h))
-    head = np.r_[True, (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1)]
-    heads = np.flatnonzero(head)
-    context = np.empty(len(h), np.int64)  # of each row, its context among the distinct ones
-    context[order] = np.cumsum(head) - 1
-    one = order[heads]
-    low = np.minimum.reduceat(least[order], heads)
-    begin, size = begin[one], size[one]
-    _, of_anchor, contexts = np.unique(h[one], return_inverse=True, return_counts=True)
-    contexts = contexts[of_anchor]
+def window_least(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray, h: np.ndarray, window: int, gram: int, level: int = 0) -> np.ndarray:
+    """As class_least, of distinct contexts of the anchors h (sorted), however many an anchor has."""
     count = size - window + 1
     at = np.r_[0, np.cumsum(count)]
-    found = np.repeat(low, count)  # what an anchor with one context needs
-    for chosen, way in ((np.flatnonzero((contexts > 1) & (contexts <= CONTEXTS)), class_least), (np.flatnonzero(contexts > CONTEXTS), _least_by_bytes)):
-        if len(chosen):
-            found[_spans(at[chosen], count[chosen])] = way(body, begin[chosen], size[chosen], low[chosen], of_anchor[chosen], window)
-    smallest = np.minimum.reduceat(found, at[:-1])
-    told = np.flatnonzero(smallest[context] < most)
-    told = told[np.argsort(who[told], kind="stable")]
-    cuts, out = np.searchsorted(who[told], np.arange(len(sent) + 1)), []
-    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-        mine = told[lo:hi]  # a sender's rows are sorted by h
-        c = context[mine]
-        out.append({"h": h[mine], "digest": digest[mine, 0], "count": count[c].astype(np.int32), "least": found[_spans(at[c], count[c])]} if hi > lo else None)
+    out = np.repeat(least, count)  # what an anchor with one context needs
+    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    contexts = np.diff(np.r_[heads, len(h)])
+    of_anchor, contexts = np.repeat(np.arange(len(heads)), contexts), np.repeat(contexts, contexts)
+    few, many = np.flatnonzero((contexts > 1) & (contexts <= CONTEXTS)), np.flatnonzero(contexts > CONTEXTS)
+    if len(few):
+        out[spans(at[few], count[few])] = class_least(texts, begin[few], size[few], least[few], of_anchor[few], window)
+    if len(many):
+        # Windows of one crowded anchor are cut up by their content: equal ones stay together.
+        begin, size, least, count, anchor = begin[many], size[many], least[many], count[many], h[many]
+        if level < LEVELS:
+            body, bounds = texts[spans(begin, size)], np.r_[0, np.cumsum(size)]
+            runs = _runs(body, bounds, window, gram, level + 2)
+            names, first, length, owner = an.mix64(anchor[runs.doc]) ^ runs.h, runs.first, runs.last - runs.first + 1, runs.doc
+        else:
+            body, first, owner = texts, spans(begin, count), np.repeat(np.arange(len(many)), count)
+            names, length = anchor[owner], np.ones(len(first), np.int64)
+        digest = an.digests(body.tobytes(), first, first + length + window - 1)
+        order, head, number = an.classes(names, digest)
+        one, low = order[head], np.minimum.reduceat(least[owner][order], head)
+        names = names[one]
+        if level == LEVELS:  # distinct windows, by digest: neighbours share a suffix array
+            names = names + (np.arange(len(one)) // CONTEXTS).astype(np.uint64)
+            names = np.cumsum(np.r_[0, names[1:] != names[:-1]]).astype(np.uint64)
+        found = window_least(body, first[one], length[one] + window - 1, low, names, window, gram, level + 1)
+        # Runs and windows come in the order of contexts and starts, as `out` has them.
+        place = np.r_[0, np.cumsum(length[one])[:-1]][number]
+        out[spans(at[many], count)] = found[spans(place, length)]
     return out
 
 
-def _judge(window: int):
+def _judge(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
-        b, bucket = table.column("b").to_pylist(), table.column("bucket")[0].as_py()
-        sent = [an.unpack(x.as_py()) for x in table.column("data")]
-        del table
-        # Part after part of the bucket's hashes, so that little is laid out at once.
-        limits = np.quantile(np.concatenate([x["h"] for x in sent]).astype(np.float64), np.arange(1, PARTS) / PARTS).astype(np.uint64)
-        rows_at = [np.r_[0, np.searchsorted(x["h"], limits), len(x["h"])] for x in sent]
-        bytes_at = [np.r_[0, np.cumsum(x["size"], dtype=np.int64)][r] for x, r in zip(sent, rows_at, strict=True)]
-        answers: list[list[dict[str, np.ndarray]]] = [[] for _ in sent]
-        for k in range(PARTS):
-            part = [{c: v[y[k] : y[k + 1]] if c == "body" else v[r[k] : r[k + 1]] for c, v in x.items()} for x, r, y in zip(sent, rows_at, bytes_at, strict=True)]
-            if any(len(x["h"]) for x in part):
-                for mine, told in zip(answers, _judged(part, window), strict=True):
-                    mine += [told] if told else []
-        return an.parcels([(bucket, b[i], an.pack(**{c: np.concatenate([x[c] for x in mine]) for c in mine[0]})) for i, mine in enumerate(answers) if mine])
+        sent = an.unpacked(table)
+        who = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
+        h, least, most, of, parts, size, body = (np.concatenate([x[c] for x in sent]) for c in ("h", "least", "most", "of", "parts", "size", "body"))
+        del sent
+        size = size.astype(np.int64)
+        begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        digest = an.digests(body.tobytes(), begin, begin + size)
+        order, head, context = an.classes(h, digest)
+        one = order[head]
+        found = window_least(body, begin[one], size[one], np.minimum.reduceat(least[order], head), h[one], window, gram)
+        count = size[one] - window + 1
+        at = np.r_[0, np.cumsum(count)]
+        told = np.flatnonzero(np.minimum.reduceat(found, at[:-1])[context] < most)  # some document of the sender loses bytes
+        b, bucket, rows = table.column("b").to_pylist(), table.column("bucket")[0].as_py(), []
+        cuts = np.searchsorted(who[told], np.arange(len(b) + 1))
+        for i, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            mine = told[lo:hi]  # a sender's rows are sorted by h
+            if hi > lo:
+                c = context[mine]
+                rows.append((bucket, b[i], an.pack(h=h[mine], digest=digest[mine, 0], of=of[mine], parts=parts[mine], count=count[c].astype(np.int32), least=found[spans(at[c], count[c])])))
+        return an.parcels(rows)
 
     return run
 
 
+def _told(raw: bytes, runs: an.Runs, right: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of windows, the row of `runs` that each belongs to, and the least document
+    that has each, from what a batch was answered."""
+    told = an.unpacked(right)
+    h, digest, of, parts, count, least = (np.concatenate([x[c] for x in told]) for c in ("h", "digest", "of", "parts", "count", "least"))
+    at = np.r_[0, np.cumsum(count)].astype(np.int64)
+    whole = of == 0
+    mine = np.flatnonzero(an.among(runs.h, np.unique(h[whole])))
+    # A context is known by its anchor's name and half of its digest, 112 bits.
+    row = an.places_of(runs.h[mine], an.digests(raw, runs.first[mine], runs.last[mine] + window)[:, 0], h[whole], digest[whole])
+    mine, row = mine[row >= 0], np.flatnonzero(whole)[row[row >= 0]]
+    out = [(spans(runs.first[mine], count[row]), np.repeat(mine, count[row]), least[spans(at[row], count[row])])]
+    if not whole.all():
+        crowded, first = np.unique(of[~whole], return_index=True)
+        mine = np.flatnonzero(an.among(runs.h, crowded))
+        begin, end = runs.first[mine], runs.last[mine] + window
+        order, head, number = an.classes(runs.h[mine], an.digests(raw, begin, end))
+        one = order[head]
+        w = _Windows(raw, begin[one], (end - begin)[one], runs.h[mine][one], parts[~whole][first][np.searchsorted(crowded, runs.h[mine][one])], window)
+        row = an.places_of(w.h, w.digest[:, 0], h[~whole], digest[~whole])
+        limit = np.where(row >= 0, least[at[:-1][np.flatnonzero(~whole)[row]]], NULL_ID)
+        n = (end - begin) - window + 1
+        out.append((spans(begin, n), np.repeat(mine, n), limit[spans(w.at[:-1][number], n)]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _cut_out(window: int, gram: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         data, bounds, keys = _laid_out(left)
-        gone = np.zeros(len(data), bool)
+        raw, gone = data.tobytes(), np.zeros(len(data), bool)
         if right.num_rows and len(data):
-            told = [an.unpack(x.as_py()) for x in right.column("data")]
-            h, digest, count, least = (np.concatenate([x[c] for x in told]) for c in ("h", "digest", "count", "least"))
             runs = _runs(data, bounds, window, gram)
-            runs = runs.only(an.among(runs.h, np.sort(h)))
-            mine = _digests(data, runs.first, runs.last + window)[:, 0]
-            # A context is known by its anchor's hash and half of its digest, 112 bits.
-            both = np.rec.fromarrays([np.r_[h, runs.h], np.r_[digest, mine]])
-            _, first, number = np.unique(both, return_index=True, return_inverse=True)
-            row = first[number[len(h) :]]
-            runs, row = runs.only(row < len(h)), row[row < len(h)]
-            begin = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-            limits = least[_spans(begin[row], count[row].astype(np.int64))]
-            starts = runs.starts()
-            own = np.repeat(keys[runs.doc], runs.last - runs.first + 1)
-            gone = an.covered(starts[limits < own], window, len(data))
-        raw, out = data.tobytes(), []
+            starts, row, limits = _told(raw, runs, right, window)
+            starts = starts[limits < keys[runs.doc[row]]]
+            gone = an.covered(starts, starts + window, len(data))
+        out = []
         for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-            cut = gone[lo:hi]
-            kept = data[lo:hi][~cut].tobytes() if cut.any() else raw[lo:hi]
-            spans = int(np.diff(np.r_[0, cut.astype(np.int8)]).clip(0).sum()) if hi > lo else 0
-            out.append((hi - lo, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            lost = gone[lo:hi]
+            kept = data[lo:hi][~lost].tobytes() if lost.any() else raw[lo:hi]
+            n_spans = int(np.diff(np.r_[0, lost.astype(np.int8)]).clip(0).sum()) if hi > lo else 0
+            out.append((hi - lo, int(lost.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -320,15 +352,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """One row a document: its key, n_bytes, n_removed, n_spans (long; maximal removed
     runs), kept_sha256, and the kept bytes (null unless with_text).
 
-    Keys are whole numbers.  A null or empty text has no bytes.  Rows of one key are no
-    smaller than each other and so remove nothing from each other; a null key ranks
-    after all others.  Other columns aren't read.
+    Keys are whole numbers.  A null or empty text has no bytes; a text however long is
+    read whole, by the one task that has its batch.  Rows of one key are no smaller than
+    each other and so remove nothing from each other; a null key ranks after all others.
+    Other columns aren't read, whatever their names; an empty table gives an empty one.
     """
-    n = partitions(docs.sparkSession)
-    batches = an.dealt(docs, key, text)
-    told = an.grouped(an.grouped(batches, "b", _seeds(window, gram, n), an.PARCEL), "bucket", an.shared_hashes, an.PARCEL)
+    n = an.width(docs, text)
+    batches = an.dealt(docs, key, text, n)
+    told = an.grouped(an.grouped(batches, "b", _seeds(window, gram, n), an.PARCEL), "bucket", an.shared_names, an.PARCEL)
     sent = an.with_answers(batches, told, _send(window, gram, n), an.PARCEL)
-    judged = an.grouped(sent, "bucket", _judge(window), an.PARCEL)
+    judged = an.grouped(sent, "bucket", _judge(window, gram), an.PARCEL)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return an.with_answers(batches, judged, _cut_out(window, gram, with_text), schema).withColumnRenamed("key", key)

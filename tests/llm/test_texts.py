@@ -5,7 +5,7 @@ import hashlib
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from lodestrand.llm import anchors, decontaminate, quality_cnn, queries, substring_dedup, suffix_dedup
 from tests.llm.test_small_ops import SF, odd_docs
@@ -103,13 +103,97 @@ def test_suffix_arrays_are_sorted():
             assert out[lo:hi].tolist() == sorted(range(lo, hi), key=lambda i: list(symbols[i:hi]))
 
 
-def test_classes_by_order_and_by_bytes_agree():
+def test_windows_learn_their_least_document_however_many_contexts(monkeypatch):
     rng = np.random.default_rng(2)
-    size = rng.integers(10, 25, 300)
-    texts, begin = rng.integers(0, 2, size.sum()).astype(np.uint8), np.r_[0, np.cumsum(size)[:-1]]
-    least, text_of = rng.permutation(300), np.sort(rng.integers(0, 40, 300))
-    args = (texts, begin, size, least, text_of, 8)
-    assert (suffix_dedup.class_least(*args) == suffix_dedup._least_by_bytes(*args)).all()
+    n = 2600
+    size, h = rng.integers(10, 25, n), np.sort(np.r_[np.full(2000, 5), rng.integers(6, 90, n - 2000)]).astype(np.uint64)
+    texts, begin, least = rng.integers(0, 2, size.sum()).astype(np.uint8), np.r_[0, np.cumsum(size)[:-1]], rng.permutation(n)
+    first = {}
+    windows = [(int(h[c]), texts[begin[c] + i : begin[c] + i + 8].tobytes(), int(least[c])) for c in range(n) for i in range(size[c] - 7)]
+    for a, w, k in windows:
+        first[a, w] = min(k, first.get((a, w), n))
+    want = [first[a, w] for a, w, _ in windows]
+    for levels in (0, 2):
+        monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
+        assert suffix_dedup.window_least(texts, begin, size, least, h, 8, 4).tolist() == want
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", n)  # one suffix array for each anchor
+    assert suffix_dedup.window_least(texts, begin, size, least, h, 8, 4).tolist() == want
+
+
+def plain_stretches(contexts, window, gram):
+    out = []
+    for c, (words, before, seed) in enumerate(contexts):
+        best = (-1, -1)
+        for d, (other, at, its) in enumerate(contexts):
+            if c != d and seed == its:
+                for back in range(min(before, at) + 1):
+                    if words[before - back : before] != other[at - back : at]:
+                        break
+                    on = 0
+                    while before + gram + on < len(words) and at + gram + on < len(other) and words[before + gram + on] == other[at + gram + on]:
+                        on += 1
+                    if back + gram + on >= window:
+                        best = max(best[0], back), max(best[1], on)
+        out.append(best)
+    return out
+
+
+def test_seeds_extend_to_what_pairs_extend_to():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        contexts = []
+        for _ in range(60):
+            before, after, seed = int(rng.integers(0, 6)), int(rng.integers(0, 6)), int(rng.integers(0, 4))
+            contexts.append(([*rng.integers(1, 3, before).tolist(), 90 + seed, 80 + seed, *rng.integers(1, 3, after).tolist()], before, seed))
+        size = np.array([len(w) for w, *_ in contexts])
+        units = np.array([x for w, *_ in contexts for x in w], np.uint64)
+        got = substring_dedup.extended(units, np.r_[0, np.cumsum(size)[:-1]], size, np.array([b for _, b, _ in contexts]), np.array([s for *_, s in contexts]), 7, 2)
+        assert list(zip(*(x.tolist() for x in got))) == plain_stretches(contexts, 7, 2)
+
+
+def crowded_docs(spark):
+    """A short phrase in over a thousand texts, with others around it, and copies of some."""
+    rng = np.random.default_rng(8)
+    words = lambda n, v: " ".join(f"w{x}" for x in rng.integers(0, v, n))
+    phrase, passage = words(14, 10**6), words(45, 10**6)
+    texts = [f"{words(int(rng.integers(0, 25)), 3)} {phrase} {words(int(rng.integers(0, 25)), 3)}" for _ in range(1100)]
+    texts += [f"{words(4, 10**6)} {passage} {words(4, 10**6)}" for _ in range(60)] + texts[:20]
+    ids = rng.permutation(len(texts)).tolist()
+    return spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), list(zip(ids, texts))
+
+
+@pytest.mark.parametrize(("crowd", "least"), [(1 << 16, 8000), (40, 8000), (40, 1 << 22)])
+def test_dedup_of_an_anchor_with_a_thousand_contexts(spark, monkeypatch, crowd, least):
+    monkeypatch.setattr(anchors, "LEAST_BYTES", least)
+    # Workers import the module anew, so the function that they run takes the value along.
+    monkeypatch.setattr(anchors, "shared_names", lambda table: _names(table, crowd))
+    df, rows = crowded_docs(spark)
+    assert (anchors.width(df, "text") > 10) == (least == 8000)
+    got = suffix_dedup.dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_bytes(rows)
+    got = substring_dedup.dedup(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_words(rows)
+
+
+def _names(table, crowd):
+    from lodestrand.llm import anchors as at
+
+    was, at.CROWD = at.CROWD, crowd
+    try:
+        return at.shared_names(table)
+    finally:
+        at.CROWD = was
+
+
+def test_parcels_grow_with_the_text_and_not_faster(spark, monkeypatch):
+    df = spark.createDataFrame([("x" * 100_000,)], "text string")
+    monkeypatch.setattr(anchors, "LEAST_BYTES", 1000)
+    n = [anchors.width(df.join(spark.range(k)), "text") for k in (1, 4, 16)]
+    assert [x * x * anchors.PARCEL_BYTES <= 1.3 * k * 100_000 for x, k in zip(n, (1, 4, 16))] == [True] * 3
+    assert n[0] < n[1] < n[2]
+    names = anchors.Runs(anchors.mix64(np.arange(1, 200_000, dtype=np.uint64)), np.array([0, 199_999]), 50, 20).h
+    share = np.bincount(anchors.buckets_of(names, 50), minlength=50)
+    assert share.max() < 1.3 * share.mean()
 
 
 def test_decontamination_against_exact_passages(spark):
