@@ -26,6 +26,8 @@ from lodestrand.shipping import ship
 CHUNK_BYTES = 1 << 16
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 0
+#: Copies from which on a payload's records are told apart by a broadcast table.
+HOT = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:lodestrand:record:"
@@ -37,38 +39,58 @@ def base32(digest: bytes) -> str:
 
 def chunk_rows(pages: DataFrame, payload: str = "payload", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """pages with chunk_no (from 0), last (boolean) and data (binary) in place of the
-    payload; an empty payload is one empty chunk.  A record's rows follow each other."""
+    payload; an empty payload is one empty chunk.  A record's rows follow each other.
+
+    The payload is sliced before its rows are made, so that none of them carries it.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / chunk_bytes)).cast("int")
-    rows = pages.select("*", n.alias("_n")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_no"))
-    data = F.substring(F.col(payload), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return rows.select("*", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), data.alias("data")).drop(payload, "_n")
+    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(payload), i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    others = [c for c in pages.columns if c != payload]
+    rows = pages.select(*others, n.alias("_n"), F.posexplode(slices).alias("chunk_no", "data"))
+    return rows.select(*others, "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), "data")
 
 
-def _digests(batches):
+def _with_digests(batches):
     running, size = hashlib.sha1(), 0
     for batch in batches:
-        out = []
-        for key, mark, no, last, data in arrow_rows(batch, "key", "mark", "chunk_no", "last", "data"):
+        sizes, found = [], []
+        for no, data in arrow_rows(batch, "chunk_no", "data"):
             if no.as_py() == 0:
                 running, size = hashlib.sha1(), 0
             piece = data.as_py()
             running.update(piece)
             size += len(piece)
-            if last.as_py():
-                out.append((key.as_py(), mark.as_py(), size, base32(running.digest())))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "mark", "payload_bytes", "payload_digest"])
+            sizes.append(size)
+            found.append(base32(running.digest()))
+        yield pa.record_batch([*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, pa.string())], names=[*batch.schema.names, "size_so_far", "digest_so_far"])
+
+
+def chunk_table(pages: DataFrame, key: str, url: str, html: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The table of chunks, written to the shared folder: rec (a number for each record),
+    key, url, chunk_no, last, data, and the payload's size_so_far and digest_so_far."""
+    ship(pages.sparkSession)
+    payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
+    rows = pages.select(F.monotonically_increasing_id().alias("rec"), F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
+    schema = "rec long, key string, url string, chunk_no int, last boolean, data binary, size_so_far long, digest_so_far string"
+    return settled(chunk_rows(rows, "payload", chunk_bytes).mapInArrow(_with_digests, schema), "chunks")
 
 
 def decide(digests: DataFrame, min_revisit: int = MIN_REVISIT, key_type: str = "bigint") -> DataFrame:
-    """digests (key, mark, payload_bytes, payload_digest) with refers_to: the least key
-    of those with the same payload, where that is another."""
-    order = F.col("key").cast(key_type)
-    same = digests.filter(F.col("payload_bytes") >= min_revisit).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b")).agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = digests.join(same, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")), "left")
+    """digests (rec, key, payload_bytes, payload_digest and others) with refers_to: the least
+    key of those with the same payload.  It is null for the rows of that key, which are
+    responses, where no key is known, and where a payload is alone or too short.
+
+    Payloads that HOT or more records have go by a broadcast table, which has no more
+    rows than one for every HOT records; so no task gathers all copies of one.
+    """
+    long = F.col("payload_bytes") >= min_revisit
+    same = digests.filter(long).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b")).agg(F.min(F.col("key").cast(key_type)).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = settled(same, "copies")
+    on = (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b"))
+    hot, rest = F.broadcast(same.filter(F.col("_n") >= HOT)), same.filter(F.col("_n") < HOT)
+    joined = digests.join(hot, on).unionByName(digests.join(hot, on, "left_anti").join(rest, on, "left"))
     least = F.col("_least").cast("string")
-    return joined.select("key", "mark", "payload_bytes", "payload_digest", F.when(~F.col("key").eqNullSafe(least), least).alias("refers_to"))
+    return joined.withColumn("refers_to", F.when(~F.col("key").eqNullSafe(least), least)).drop("_d", "_b", "_n", "_least")
 
 
 def _opened(root: str) -> tuple[pafs.FileSystem, str]:
@@ -96,18 +118,18 @@ def _writer(root: str, level: int):
         path, out, member, n = f"{base}/{uuid.uuid4().hex}.warc.gz", None, None, 0
         try:
             for batch in batches:
-                for key, url, size, digest, refers, no, last, data in arrow_rows(batch, "key", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "last", "data"):
-                    if out is None:
-                        out = fs.open_output_stream(path, compression=None)
-                    kind = "response" if refers.as_py() is None else "revisit"
-                    if no.as_py() == 0:
-                        member = zlib.compressobj(level, zlib.DEFLATED, 31)
+                for no, key, url, size, digest, refers, data in arrow_rows(batch, "chunk_no", "key", "url", "payload_bytes", "payload_digest", "refers_to", "data"):
+                    if no.as_py() < 0:  # a record's head
+                        out = out or fs.open_output_stream(path, compression=None)
+                        if member is not None:
+                            out.write(member.compress(b"\r\n\r\n") + member.flush())
+                        member, kind = zlib.compressobj(level, zlib.DEFLATED, 31), "response" if refers.as_py() is None else "revisit"
                         out.write(member.compress(record_head(kind, key.as_py(), url.as_py(), size.as_py(), digest.as_py(), refers.as_py())))
                         n += 1
-                    if kind == "response":
+                    elif kind == "response":
                         out.write(member.compress(data.as_py()))
-                    if last.as_py():
-                        out.write(member.compress(b"\r\n\r\n") + member.flush())
+            if member is not None:
+                out.write(member.compress(b"\r\n\r\n") + member.flush())
         finally:
             if out is not None:
                 out.close()
@@ -121,22 +143,21 @@ def write(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", h
     """Writes a record for every row into archives under root, a folder that all
     executors reach; returns path and records of each archive, as a settled table.
 
-    A null html is an empty payload; a null url an empty one; a null key is written
-    as such and is never referred to.  Rows with equal keys and payloads are responses
-    alike.
+    A null html is an empty payload, a payload however long is only ever moved in
+    chunks; a null url is an empty one; a null key is written as such and is never
+    referred to.  Rows with equal keys and payloads are alike: all responses, or all revisits.
+    Other columns aren't read, whatever their names; an empty table gives no archive.
     """
-    ship(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.select("*", F.xxhash64("payload").alias("mark"))
-    digests = chunk_rows(rows.drop("url"), "payload", chunk_bytes).mapInArrow(_digests, "key string, mark long, payload_bytes long, payload_digest string")
-    decided = decide(settled(digests, "digests"), min_revisit, kind).distinct().withColumnsRenamed({"key": "k", "mark": "m"})
-    joined = rows.join(decided, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))).drop("k", "m", "mark")
-    # A revisit's payload isn't written and needn't be cut into chunks.
-    joined = joined.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    chunks = chunk_table(pages, key, url, html, chunk_bytes)
+    digests = chunks.filter("last").select("rec", "key", "url", F.col("size_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"))
+    heads = decide(digests, min_revisit, kind).withColumn("chunk_no", F.lit(-1))
+    # A record's head goes before its chunks; empty ones have nothing to write.
+    rows = heads.unionByName(chunks.filter("octet_length(data) > 0").select("rec", "chunk_no", "data"), allowMissingColumns=True)
+    rows = rows.repartition(partitions(pages.sparkSession), "rec").sortWithinPartitions("rec", "chunk_no")
     fs, base = _opened(root)
     fs.create_dir(base, recursive=True)
-    return settled(chunk_rows(joined, "payload", chunk_bytes).mapInArrow(_writer(root, level), "path string, records long"), "archives")
+    return settled(rows.mapInArrow(_writer(root, level), "path string, records long"), "archives")
 
 
 def parse(stream: io.BufferedIOBase, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[dict[str, str], int, bytes, bool]]:
@@ -221,7 +242,9 @@ def read(archives: DataFrame, root: str, chunk_bytes: int = CHUNK_BYTES, with_da
     size_so_far, digest_so_far; with the last chunk payload_bytes and payload_digest
     (a revisit's as its headers have them); refers_to; data (null unless with_data).
 
-    A response whose payload doesn't have the digest in its headers is an error.
+    A response whose payload doesn't have the digest in its headers is an error.  A key
+    written as null comes back as null; other columns of `archives` aren't read, and an
+    empty list of archives gives an empty table.
     """
     ship(archives.sparkSession)
     spread = archives.select("path").repartition(partitions(archives.sparkSession))

@@ -140,6 +140,23 @@ def test_warc_round_trip_of_odd_rows(spark):
     assert warc.round_trip(spark, df.limit(0)).collect() == []
 
 
+def test_warc_copies_by_a_broadcast_table_and_without(spark, monkeypatch):
+    df = spark.createDataFrame([(7, None, "p"), (3, None, "p"), (3, None, "p"), (None, None, "p"), (4, None, "q"), (4, None, "r")], "page_id long, url string, html string")
+    want = [(None, "revisit", 3), (3, "response", None), (3, "response", None), (4, "response", None), (4, "response", None), (7, "revisit", 3)]
+    for hot in (100_000, 2):
+        monkeypatch.setattr(warc, "HOT", hot)
+        got = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, df).collect()]
+        assert sorted(got, key=lambda r: (r[0] or 0, r[1])) == want
+
+
+def test_no_whole_payload_is_exchanged(spark):
+    rows = spark.createDataFrame([(1, "x" * 1000)], "a long, p string").select("a", F.encode("p", "UTF-8").alias("p"))
+    plan = warc.chunk_rows(rows, "p", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "Exchange" not in plan
+    generate = next(x for x in plan.split("\n") if "Generate" in x)
+    assert "[a#" in generate and ", p#" not in generate.split("posexplode", 1)[1].split("],", 1)[1]
+
+
 def test_warc_payloads_come_back_in_chunks(spark, tmp_path):
     html = ["a" * 1000, "", "\r\n\r\nb\n" * 77]
     df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
