@@ -18,8 +18,9 @@ from lodestrand.shipping import ship
 
 CHUNK, HOP, WIDTH, STRIDE = 256, 192, 8, 4
 EMBED, FILTERS, HIDDEN, PAD = 8, 32, 16, 256
-#: The bound on labelled documents to learn from, and on chunks of each, spread evenly.
-SAMPLE, SAMPLE_CHUNKS = 3_000, 24
+#: The bounds on labelled rows to learn from: their number, and the bytes of their texts
+#: (each is read whole, or left out if it would pass the bound).
+SAMPLE, SAMPLE_BYTES = 3_000, 64 << 20
 STEPS, BATCH, RATE, SEED = 400, 32, 0.01, 7
 #: Chunks that are scored at once.
 AT_ONCE = 256
@@ -97,55 +98,58 @@ def scores(net: dict[str, np.ndarray], texts: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0)
 
 
+def gradients(net: dict[str, np.ndarray], chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The slopes of the mean cross-entropy of some documents, given by the chunks of all
+    of them, the number of each one's, and their labels."""
+    heads = np.r_[0, np.cumsum(sizes)[:-1]]
+    blocks = [slice(i, i + AT_ONCE) for i in range(0, len(chunks), AT_ONCE)]
+    top, place = (np.concatenate(x) for x in zip(*(pooled(net, chunks[s]) for s in blocks), strict=True))
+    logit, p, h, n, mean, most = _combined(net, top, heads)
+    slope = (1 / (1 + np.exp(-logit)) - y) / len(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    grad = {"out": np.concatenate([mean, most], 1).T @ slope, "out_shift": slope.sum(keepdims=True)}
+    dh = (slope[:, None] * net["out"][:HIDDEN] / n)[owner]
+    is_most = h == most[owner]
+    ties = np.add.reduceat(is_most.astype(np.float32), heads)[owner]
+    dh += is_most / ties * (slope[:, None] * net["out"][HIDDEN:])[owner]
+    dh *= h > 0
+    grad["mid"], grad["mid_shift"] = p.T @ dh, dh.sum(0)
+    dp = (dh @ net["mid"].T) * (top > 0)
+    grad["shift"] = dp.sum(0)
+    grad["filters"], grad["embed"] = np.zeros_like(net["filters"]), np.zeros_like(net["embed"])
+    for s in blocks:
+        # Only the positions that were the greatest have a share in the result.
+        c, f = np.nonzero(dp[s])
+        bytes_at = chunks[s][c[:, None], (place[s][c, f] * STRIDE)[:, None] + np.arange(WIDTH)]
+        seen = net["embed"][bytes_at].reshape(len(c), WIDTH * EMBED)
+        share = dp[s][c, f][:, None]
+        for k in range(FILTERS):
+            mine = f == k
+            grad["filters"][:, k] += (seen[mine] * share[mine]).sum(0)
+        spread = (share * net["filters"].T[f]).reshape(-1, EMBED)
+        for k in range(EMBED):
+            grad["embed"][:, k] += np.bincount(bytes_at.reshape(-1), spread[:, k], PAD + 1)
+    grad["embed"][PAD] = 0
+    return grad
+
+
 def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """A network fitted to labelled texts by Adam; the same for the same input."""
+    """A network fitted to labelled texts, each from all its chunks, by Adam; the same for the same input."""
     net, rng = initial(seed), np.random.default_rng(seed)
-    docs = []
-    for text in texts:
-        own = chunks_of(text)
-        docs.append(own[np.linspace(0, len(own) - 1, min(len(own), SAMPLE_CHUNKS)).astype(int)])
     y = np.array(labels, np.float32)
     if not len(y):
         net["out"][:] = 0  # nothing is known: every score is one half
         return net
     first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     step = 0
-    each = -(-len(docs) // BATCH)
+    each = -(-len(texts) // BATCH)
     total = each * -(-steps // each)
     while step < total:
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            chunks = np.concatenate([docs[i] for i in chosen])
-            sizes = np.array([len(docs[i]) for i in chosen])
-            heads = np.r_[0, np.cumsum(sizes)[:-1]]
-            top, place = pooled(net, chunks)
-            logit, p, h, n, mean, most = _combined(net, top, heads)
-            slope = (1 / (1 + np.exp(-logit)) - y[chosen]) / len(chosen)
-            owner = np.repeat(np.arange(len(chosen)), sizes)
-            grad = {"out": np.concatenate([mean, most], 1).T @ slope, "out_shift": slope.sum(keepdims=True)}
-            dh = (slope[:, None] * net["out"][:HIDDEN] / n)[owner]
-            is_most = h == most[owner]
-            ties = np.add.reduceat(is_most.astype(np.float32), heads)[owner]
-            dh += is_most / ties * (slope[:, None] * net["out"][HIDDEN:])[owner]
-            dh *= h > 0
-            grad["mid"], grad["mid_shift"] = p.T @ dh, dh.sum(0)
-            dp = (dh @ net["mid"].T) * (top > 0)
-            grad["shift"] = dp.sum(0)
-            # Only the positions that were the greatest have a share in the result.
-            c, f = np.nonzero(dp)
-            bytes_at = chunks[c[:, None], (place[c, f] * STRIDE)[:, None] + np.arange(WIDTH)]
-            seen = net["embed"][bytes_at].reshape(len(c), WIDTH * EMBED)
-            share = dp[c, f][:, None]
-            grad["filters"] = np.zeros_like(net["filters"])
-            for k in range(FILTERS):
-                mine = f == k
-                grad["filters"][:, k] = (seen[mine] * share[mine]).sum(0)
-            grad["embed"] = np.empty_like(net["embed"])
-            spread = (share * net["filters"].T[f]).reshape(-1, EMBED)
-            for k in range(EMBED):
-                grad["embed"][:, k] = np.bincount(bytes_at.reshape(-1), spread[:, k], PAD + 1)
-            grad["embed"][PAD] = 0
+            docs = [chunks_of(texts[i]) for i in chosen]
+            grad = gradients(net, np.concatenate(docs), np.array([len(d) for d in docs]), y[chosen])
             step += 1
             rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / total)
             for k, g in grad.items():
@@ -160,19 +164,30 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A network learned from at most `sample` labelled rows that aren't held out,
-    picked by a hash of the id.  Rows without a label of 0 or 1 teach nothing."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
+    """A network learned from at most `sample` labelled rows that aren't held out and
+    `sample_bytes` of text, picked by a hash of the id and the text.
+
+    Texts teach whole; a null one is empty.  Rows without a label of 0 or 1 and held-out
+    rows teach nothing; rows that repeat teach once; of an id with two labels the lesser
+    counts.  Of empty tables nothing is learned: every score is one half.  Other columns
+    aren't read, whatever their names.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_label")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    # Long texts teach by chunks spread over them, and as many bytes as that takes reach the driver.
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), F.col("_key") == F.col("_k"))
-    room = SAMPLE_CHUNKS * HOP
-    long, part = F.length("_text") > room, F.length("_text") - room // 4
-    spread = F.concat(*[F.substring(F.col("_text"), (part * k / 3).cast("int") + 1, F.lit(room // 4)) for k in range(4)])
-    found = rows.select("_key", "_label", F.when(long, spread).otherwise(F.coalesce("_text", F.lit(""))).alias("_text")).collect()
-    found.sort(key=lambda r: (str(r["_key"]), r["_text"]))
-    found = found[: 2 * sample]
+    known = known.select("_k", F.col("_label").cast("int"))
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
+    rows = rows.join(F.broadcast(known), F.col("_key") == F.col("_k")).select("_key", "_label", "_text", F.xxhash64("_key", "_text").alias("_hash"))
+    # Ids may repeat, so rows are picked first, without their texts.
+    sizes = rows.select("_hash", F.octet_length("_text").alias("n")).distinct().orderBy("_hash").limit(sample).collect()
+    picked, room = [], sample_bytes
+    for r in sizes:
+        if r["n"] <= room:
+            picked.append((r["_hash"],))
+            room -= r["n"]
+    wanted = docs.sparkSession.createDataFrame(picked, "_h long")  # `sample` rows at most
+    found = rows.join(F.broadcast(wanted), F.col("_hash") == F.col("_h")).groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("_label").alias("_label")).collect()
+    found.sort(key=lambda r: r["_hash"])
     return train([r["_text"] for r in found], [r["_label"] for r in found])
 
 
@@ -188,8 +203,9 @@ def _score(net):
 def score(docs: DataFrame, net: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: its key, held_out (boolean), score (double), predicted (int).
 
-    The score sees the text alone.  A null text is an empty one, and that has a score
-    too; null and repeated keys give a row each.  Other columns aren't read.
+    The score sees the text alone, all of it, however long.  A null text is an empty one,
+    and that has a score too; null and repeated keys give a row each.  Other columns
+    aren't read, whatever their names; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), held_out(key).alias("_held"), F.col(text).cast("string").alias("_text"))

@@ -257,6 +257,74 @@ def test_classifier_of_odd_rows(spark):
     assert df.select(quality_cnn.held_out()).collect()[3][0] is False
 
 
+def plain_logit(net, text):
+    """The network by loops over single numbers."""
+    data = [*text.encode()]
+    n = 1
+    while (n - 1) * quality_cnn.HOP + quality_cnn.CHUNK < len(data):
+        n += 1
+    hidden = []
+    for k in range(n):
+        chunk = data[k * quality_cnn.HOP : k * quality_cnn.HOP + quality_cnn.CHUNK]
+        chunk += [quality_cnn.PAD] * (quality_cnn.CHUNK - len(chunk))
+        top = []
+        for f in range(quality_cnn.FILTERS):
+            values = []
+            for at in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                values.append(sum(float(net["embed"][chunk[at + i]][e]) * float(net["filters"][i * quality_cnn.EMBED + e][f]) for i in range(quality_cnn.WIDTH) for e in range(quality_cnn.EMBED)))
+            top.append(max(0.0, max(values) + float(net["shift"][f])))
+        hidden.append([max(0.0, sum(top[f] * float(net["mid"][f][h]) for f in range(quality_cnn.FILTERS)) + float(net["mid_shift"][h])) for h in range(quality_cnn.HIDDEN)])
+    both = [sum(c) / n for c in zip(*hidden)] + [max(c) for c in zip(*hidden)]
+    return sum(x * float(w) for x, w in zip(both, net["out"])) + float(net["out_shift"][0])
+
+
+def test_network_against_plain_loops_and_its_slopes():
+    net = quality_cnn.initial(3)
+    rng = np.random.default_rng(1)
+    net["shift"][:], net["mid_shift"][:] = rng.normal(0, 0.1, 32), rng.normal(0, 0.1, 16)
+    texts = ["", "short é", "".join(map(chr, rng.integers(32, 127, 700)))]
+    want = [plain_logit(net, t) for t in texts]
+    assert np.allclose(quality_cnn.scores(net, texts), 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+    docs, y = [quality_cnn.chunks_of(t) for t in texts], np.array([1, 0, 1], np.float32)
+    chunks, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    exact = {k: v.astype(np.float64) for k, v in net.items()}
+
+    def loss(parts):
+        heads = np.r_[0, np.cumsum(sizes)[:-1]]
+        logit = quality_cnn._combined(parts, quality_cnn.pooled(parts, chunks)[0], heads)[0]
+        return float(np.mean(np.log1p(np.exp(logit)) - y * logit))
+
+    grad = quality_cnn.gradients(exact, chunks, sizes, y)
+    for name, values in exact.items():
+        if name == "embed":
+            places = [(int(b), int(e)) for b, e in zip(chunks[2][:6], rng.integers(0, 8, 6))]
+        else:
+            places = [tuple(int(rng.integers(0, n)) for n in values.shape) for _ in range(6)]
+        for place in places:
+            was, both = values[place], []
+            for step in (1e-6, -1e-6):
+                values[place] = was + step
+                both.append(loss(exact))
+            values[place] = was
+            assert abs((both[0] - both[1]) / 2e-6 - grad[name][place]) < 1e-5
+
+
+def test_classifier_learns_from_whole_texts_and_bounded_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, labels: seen.append((texts, labels)))
+    long = "begin " + "x" * 50_000 + " end"
+    df = odd_docs(spark, [long, "b", "b", "c", "d", None], [0, 2, 2, 2, 3, 5])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    held = {r.doc_id for r in df.filter(quality_cnn.held_out()).collect()}
+    quality_cnn.fit(df, labels)
+    want = {(t or "", i % 2) for t, i in zip([long, "b", "c", "d", None], [0, 2, 2, 3, 5]) if i not in held}
+    assert set(zip(*seen[0])) == want and len(seen[0][0]) == len(want)
+    quality_cnn.fit(df, labels, sample=2)
+    assert len(seen[1][0]) <= 2
+    quality_cnn.fit(df, labels, sample_bytes=100)
+    assert long not in seen[2][0] and set(zip(*seen[2])) == want - {(long, 0)}
+
+
 def test_sql_of_the_dedup_queries_against_plain():
     import duckdb
 
