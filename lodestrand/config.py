@@ -159,6 +159,63 @@ class ConfigCache:
             for listener in self._listeners:
                 listener(path, "modified" if there else "deleted")
 
+    def tell(self, path: str, event: str) -> None:
+        """Drops what may depend on a local file and tells the listeners."""
+        self.clear()
+        for listener in self._listeners:
+            listener(path, event)
+
     def clear(self) -> None:
         with self._lock:
             self._held.clear()
+
+
+class ConfigWatcher:
+    """Looks for local settings under some folders, again and again, on a thread of its
+    own, and tells the cache of those that come, change or go; a renamed one is gone."""
+
+    def __init__(self, cache: ConfigCache, folders, poll: float = 1.0):
+        self.cache, self.folders, self.poll = cache, [normalize(f) for f in folders], poll
+        self._stop, self._seen = threading.Event(), self._stamps()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def _stamps(self) -> dict[str, tuple[int, int]]:
+        found = {}
+        for top in self.folders:
+            for folder, _, names in os.walk(top):
+                if LOCAL_NAME in names:
+                    path = os.path.join(folder, LOCAL_NAME)
+                    try:
+                        stat = os.stat(path)
+                    except OSError:
+                        continue
+                    found[path] = (stat.st_mtime_ns, stat.st_size)
+        return found
+
+    def look(self) -> None:
+        """One look; what has happened since the last one is told."""
+        now, before = self._stamps(), self._seen
+        self._seen = now
+        for path in sorted(now.keys() | before.keys()):
+            if now.get(path) != before.get(path):
+                self.cache.tell(path, "deleted" if path not in now else "modified" if path in before else "created")
+
+    def _run(self) -> None:
+        while not self._stop.wait(self.poll):
+            self.look()
+
+    def start(self) -> ConfigWatcher:
+        self._thread.start()
+        return self
+
+    def close(self) -> None:
+        """Looks no more; a second call does no harm."""
+        self._stop.set()
+        if self._thread.is_alive():
+            self._thread.join()
+
+    def __enter__(self) -> ConfigWatcher:
+        return self.start()
+
+    def __exit__(self, *error) -> None:
+        self.close()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestrand.operators import lookups, registry, vectors
 from lodestrand.plans.compiler import run_query
-from lodestrand.render import status_report
+from lodestrand.render import markdown_report, status_report
 from lodestrand.sources import chunker, extract, files
 from lodestrand.storage import settled
 from lodestrand.store import GraphStore
+from lodestrand.streaming import workqueue
 
 
 class Engine:
@@ -28,9 +29,10 @@ class Engine:
     def index_folder(self, folder: str, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> int:
         """Registers, cuts and embeds the files that are new, changed or left unfinished; how many.
 
-        All of them are one job, however many they are.  A binary file is registered and
-        has no chunks.  A file that changed has its chunks replaced, with new ids; files
-        that are gone stay, as nothing says that they were removed for good.
+        All of them are one job, however many they are, and only their rows are written.  A
+        binary file is registered and has no chunks.  A file that changed has its chunks
+        replaced, with new ids; files that are gone stay, as nothing says that they were
+        removed for good.  Files that can't be read are left out: see unreadable().
         """
         store, now = self.store, F.current_timestamp()
         found = files.walk(self.spark, folder, blacklist, whitelist)
@@ -42,35 +44,69 @@ class Engine:
         if not count:
             return 0
         # Ids are given first; the rows stay pending until the chunks are there.
-        store.write("files", registry.mark_pending(store.files, changed, now))
-        ids = store.files.join(changed.select("path"), "path", "left_semi").select("id", "path")
+        workqueue.enqueue(store, changed)
+        mine = settled(store.files.join(changed.select("path"), "path", "left_semi"), "mine")
+        ids = mine.select("id", "path")
         texts = files.texts(found).join(ids, "path").select(F.col("id").alias("file_id"), "text")
         cut = chunker.chunks(texts, "file_id", "text", self.windows).withColumnRenamed("content", "content_snippet")
-        # Ids are dealt before vectors are made, so that sorting moves no vectors.
-        greatest = store.chunks.agg(F.max("chunk_id")).collect()[0][0] or 0
-        cut = registry.with_ids(cut, ["file_id", "start_byte"], greatest, "chunk_id")
-        fresh = extract.embed(cut, "content_snippet", self.embedder)
-        kept = registry.delete_chunks(store.chunks, ids.select(F.col("id").alias("file_id")))
-        store.write("chunks", kept.unionByName(fresh.select(kept.columns)))
-        store.write("files", registry.mark_indexed(store.files, ids, now))
+        workqueue.put_chunks(store, cut, ["file_id", "start_byte"], ids.select(F.col("id").alias("file_id")), self._embed)
+        store.merge("files", registry.mark_indexed(mine, ids, now))
         return count
 
-    def extract_graph(self) -> int:
-        """Entities and edges of all chunks that have none yet; how many chunks it read."""
-        from lodestrand.streaming import workqueue
+    def _embed(self, rows: DataFrame) -> DataFrame:
+        return extract.embed(rows, "content_snippet", self.embedder)
+
+    def queue(self, path: str, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> dict[str, int]:
+        """Puts the files under a folder, or one file, into the queue: how many were queued,
+        how many the patterns left out, and how many can't be read."""
+        found = settled(files.walk(self.spark, path, blacklist, whitelist).select("path", "last_mod_time", "content_hash"), "found")
+        errors = files.unreadable(self.spark, path, blacklist, whitelist).count()
+        queued, there = found.count(), files.listing(self.spark, path).count()
+        workqueue.enqueue(self.store, found.withColumn("seq", F.lit(0)))
+        return {"queued": queued, "skipped": there - queued - errors, "errors": errors}
+
+    def index_batch(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Chunks with vectors of some files of the registry, and failures (id, message):
+        what the work queue's index_once() takes.  A file that is gone or can't be read fails."""
+        paths = [r["path"] for r in batch.select("path").collect()]  # one batch of the queue
+        found = settled(files.some(self.spark, paths).join(batch.select("id", "path"), "path"), "read")
+        failures = batch.join(found.select("id"), "id", "left_anti").select("id", F.lit("the file can't be read").alias("message"))
+        texts = files.texts(found).select(F.col("id").alias("file_id"), "text")
+        cut = chunker.chunks(texts, "file_id", "text", self.windows).withColumnRenamed("content", "content_snippet")
+        return self._embed(cut), failures
+
+    def index_once(self, limit: int = workqueue.INDEX_BATCH) -> int:
+        """Indexes the files that wait longest; how many it took."""
+        return workqueue.index_once(self.store, self.index_batch, limit)
 
+    def extract_graph(self, limit: int | None = None) -> int:
+        """Entities and edges of all chunks that have none yet (the first `limit`); of how
+        many chunks it got them.  Chunks whose prompt fails stay for the next time."""
         if self.extractor is None:
             raise ValueError("the engine has no extractor")
-        return workqueue.extract_once(self.store, lambda chunks: extract.extract(chunks, self.extractor), None)
+        return workqueue.extract_once(self.store, lambda chunks: extract.extract(chunks, self.extractor), limit)
 
     def search(self, text: str, k: int = vectors.TOP, under: str | None = None, prefilter: bool = False) -> DataFrame:
         """The chunks nearest to a text."""
         return vectors.search(self.store.chunks, self.store.files, self._vector(text), k, under, prefilter, self.store.dim)
 
-    def hybrid_search(self, text: str, k: int = vectors.TOP, under: str | None = None, limit: int = 10, min_weight: float = 0.5) -> DataFrame:
-        """search(), each hit with the chunks that its entities lead to."""
+    def graph_search(self, text: str, k: int = vectors.TOP, depth: int = 1, under: str | None = None, limit: int = 10, min_weight: float = 0.5) -> DataFrame:
+        """search(), each hit with up to `limit` chunks that `depth` edges or fewer lead to
+        from its entities, the heaviest first."""
         store = self.store
-        return vectors.search_with_relations(store.chunks, store.files, self._vector(text), k, under, store.entities, store.edges, limit, min_weight)
+        return vectors.search_with_relations(store.chunks, store.files, self._vector(text), k, under, store.entities, store.edges, limit, min_weight, depth)
+
+    def hybrid_search(self, text: str, k: int = vectors.TOP, under: str | None = None, limit: int = 10, min_weight: float = 0.5) -> DataFrame:
+        """graph_search() over two edges."""
+        return self.graph_search(text, k, 2, under, limit, min_weight)
+
+    def report(self, text: str, hits: DataFrame) -> str:
+        """A Markdown report of hits, with their related chunks if they have any."""
+        rows = hits.collect()  # `k` of them
+        wanted = sorted({r["chunk_id"] for hit in rows for r in (hit["related"] if "related" in hits.columns else ())})
+        ids = self.spark.createDataFrame([(i,) for i in wanted], "chunk_id long")
+        known = {r["chunk_id"]: r for r in lookups.chunks_by_ids(self.store.chunks, self.store.files, ids).collect()} if wanted else {}
+        return markdown_report(text, rows, known)
 
     def _vector(self, text: str) -> list[float]:
         return [float(x) for x in self.embedder.embed([text])[0]]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestrand.storage import settled
 
 MAX_RETRIES = 3
+#: What a failure is noted by that has no message.
+NO_MESSAGE = "unknown error"
 
 
 def last_of(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -34,26 +36,27 @@ def with_ids(rows: DataFrame, keys: list[str], greatest: Column | int = 0, name:
     return rows.join(F.broadcast(sizes), F.col("_part") == F.col("_p")).withColumn(name, (base + F.col("_before") + inside).cast("long")).drop("_part", "_p", "_before")
 
 
-def _greatest(rows: DataFrame, name: str = "id") -> int:
+def greatest_id(rows: DataFrame, name: str = "id") -> int:
     return rows.agg(F.max(name)).collect()[0][0] or 0
 
 
-def upsert_files(files: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def upsert_files(files: DataFrame, changes: DataFrame, now: Column, greatest: int | None = None) -> DataFrame:
     """changes (path, last_mod_time, content_hash, seq) put into files: ids and states
-    of known paths stay, new paths are `indexed`."""
+    of known paths stay, new paths are `indexed`.  `greatest`: the greatest id there is,
+    where `files` are only those of the changes."""
     last = last_of(changes.select("path", "last_mod_time", "content_hash", "seq"), ["path"]).drop("seq")
     new = {c: f"_{c}" for c in ("last_mod_time", "content_hash")}
     joined = files.join(last.withColumnsRenamed(new).withColumn("_hit", F.lit(True)), "path", "left")
     updated = joined.select("id", "path", *[F.coalesce(f"_{c}", c).alias(c) for c in new], F.when(F.col("_hit"), now).otherwise(F.col("indexed_at")).alias("indexed_at"), "status", "error_message", "retry_count", "queued_at")
-    fresh = with_ids(last.join(files.select("path"), "path", "left_anti"), ["path"], _greatest(files))
+    fresh = with_ids(last.join(files.select("path"), "path", "left_anti"), ["path"], greatest_id(files) if greatest is None else greatest)
     fresh = fresh.select("id", "path", "last_mod_time", "content_hash", now.alias("indexed_at"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("queued_at"))
     return updated.unionByName(fresh)
 
 
-def mark_pending(files: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def mark_pending(files: DataFrame, changes: DataFrame, now: Column, greatest: int | None = None) -> DataFrame:
     """changes (path, last_mod_time, content_hash, seq) put into files as pending, with
     no error and no retries."""
-    after = upsert_files(files, changes, F.lit(None).cast("timestamp"))
+    after = upsert_files(files, changes, F.lit(None).cast("timestamp"), greatest)
     stamps = files.select(F.col("path").alias("_p"), F.col("indexed_at").alias("_at"))
     marked = changes.select("path").distinct().withColumn("_hit", F.lit(True))
     rows = after.join(marked, "path", "left").join(stamps, F.col("path") == F.col("_p"), "left")
@@ -76,18 +79,23 @@ def mark_indexed(files: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return _changed(files, ids, status=F.lit("indexed"), error_message=F.lit(None).cast("string"), retry_count=F.lit(0), indexed_at=now)
 
 
+def _failed(files: DataFrame, failures: DataFrame) -> tuple[DataFrame, Column]:
+    """files with the failure's message (_m) and whether there is one: a failure without
+    a message is one too.  Of a file's messages the least counts."""
+    told = failures.groupBy("id").agg(F.coalesce(F.min("message"), F.lit(NO_MESSAGE)).alias("_m"))
+    return files.join(told, "id", "left"), F.col("_m").isNotNull()
+
+
 def mark_failed(files: DataFrame, failures: DataFrame) -> DataFrame:
     """failures (id, message): the files fail, with one more retry counted."""
-    rows = files.join(failures.select("id", F.col("message").alias("_m")).dropDuplicates(["id"]), "id", "left")
-    hit = F.col("_m").isNotNull()
+    rows, hit = _failed(files, failures)
     return rows.select(*[{"status": F.when(hit, F.lit("failed")).otherwise(F.col("status")), "error_message": F.coalesce("_m", "error_message"), "retry_count": F.col("retry_count") + hit.cast("int")}.get(c, F.col(c)).alias(c) for c in files.columns])
 
 
 def retry_or_fail(files: DataFrame, failures: DataFrame, now: Column, max_retries: int = MAX_RETRIES) -> DataFrame:
     """failures (id, message): a file goes back to the queue until it has failed
     max_retries times.  The count stays over the queue, so it does end."""
-    rows = files.join(failures.select("id", F.col("message").alias("_m")).dropDuplicates(["id"]), "id", "left")
-    hit = F.col("_m").isNotNull()
+    rows, hit = _failed(files, failures)
     over = F.col("retry_count") + 1 >= max_retries
     made = {"status": F.when(hit & over, F.lit("failed")).when(hit, F.lit("pending")).otherwise(F.col("status")), "error_message": F.coalesce("_m", "error_message"), "retry_count": F.col("retry_count") + hit.cast("int"), "queued_at": F.when(hit & ~over, now).otherwise(F.col("queued_at"))}
     return rows.select(*[made.get(c, F.col(c)).alias(c) for c in files.columns])
@@ -98,11 +106,11 @@ def reset_stuck(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when(F.col("status") == "processing", F.lit("pending")).otherwise(F.col("status")))
 
 
-def upsert_entities(entities: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_entities(entities: DataFrame, changes: DataFrame, greatest: int | None = None) -> DataFrame:
     """changes (name, entity_type, chunk_id): what isn't there yet is added."""
     keys = ["name", "entity_type", "chunk_id"]
     fresh = changes.select(*keys).distinct().join(entities.select(*keys), keys, "left_anti")
-    return entities.select("id", *keys).unionByName(with_ids(fresh, keys, _greatest(entities)).select("id", *keys))
+    return entities.select("id", *keys).unionByName(with_ids(fresh, keys, greatest_id(entities) if greatest is None else greatest).select("id", *keys))
 
 
 def upsert_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:

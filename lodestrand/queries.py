@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand import adapters
-from lodestrand.functions import language
+from lodestrand import adapters, schemas
+from lodestrand.functions import LANGUAGES, indent, language
 from lodestrand.operators import lookups, registry, vectors
 from lodestrand.plans.compiler import run_query
-from lodestrand.sources import chunker, filters
-from lodestrand.sources.extract import parse_answers, worth_naming
-from lodestrand.streaming import debounce
+from lodestrand.sources import chunker, extract, files, filters
+from lodestrand.storage import settled, shared_path
+from lodestrand.store import GraphStore
+from lodestrand.streaming import debounce, workqueue
 
 N = "(SELECT greatest(1, count(*)) FROM documents)"
 NODES = f"""
@@ -348,10 +349,32 @@ def similarity_score(spark, sf_dir):
     return found.select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+RELATED = f"""WITH {NODES}, hits AS (SELECT k.chunk_id FROM (SELECT *, {D} AS d FROM vecs ORDER BY d, chunk_id LIMIT 10) k JOIN files f ON k.file_id = f.id),
+  pairs AS (SELECT h.chunk_id AS hit, y.chunk_id AS near, sum(1.0::DOUBLE) AS total_weight, min(g.r) AS relation FROM hits h JOIN entities x ON x.chunk_id = h.chunk_id JOIN edges g ON g.s = x.id JOIN entities y ON g.t = y.id WHERE y.chunk_id <> h.chunk_id GROUP BY ALL)
+  SELECT hit, (row_number() OVER (PARTITION BY hit ORDER BY total_weight DESC, near) - 1)::INT AS place, near, total_weight, relation FROM pairs"""
+
+
+def _related(hits: DataFrame) -> DataFrame:
+    one = hits.select(F.col("chunk_id").alias("hit"), F.posexplode("related").alias("place", "r"))
+    return one.select("hit", "place", F.col("r.chunk_id").alias("near"), F.col("r.total_weight").alias("total_weight"), F.col("r.relation").alias("relation"))
+
+
+@query(f"{RELATED} QUALIFY place < 5")
 def search_with_relations(spark, sf_dir):
     g = adapters.graph(spark, sf_dir)
-    return vectors.search_with_relations(g.vectors, g.files, _query_vector(spark, sf_dir), entities=g.entities, edges=g.edges)
+    return _related(vectors.search_with_relations(g.vectors, g.files, _query_vector(spark, sf_dir), entities=g.entities, edges=g.edges))
+
+
+@query(f"""WITH {NODES}, hits AS (SELECT k.chunk_id FROM (SELECT *, {D} AS d FROM vecs ORDER BY d, chunk_id LIMIT 3) k JOIN files f ON k.file_id = f.id),
+  one AS (SELECT DISTINCT h.chunk_id AS hit, g.t AS at FROM hits h JOIN entities x ON x.chunk_id = h.chunk_id JOIN edges g ON g.s = x.id),
+  steps AS (SELECT 1 AS step, h.chunk_id AS hit, y.chunk_id AS near, g.r FROM hits h JOIN entities x ON x.chunk_id = h.chunk_id JOIN edges g ON g.s = x.id JOIN entities y ON g.t = y.id
+    UNION ALL SELECT 2, o.hit, y.chunk_id, g.r FROM one o JOIN edges g ON g.s = o.at JOIN entities y ON g.t = y.id JOIN entities z ON z.id = o.at),
+  sums AS (SELECT hit, near, step, count(*)::DOUBLE AS total_weight, min(r) AS relation FROM steps WHERE hit <> near GROUP BY hit, near, step),
+  pairs AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY hit, near ORDER BY step) = 1)
+  SELECT hit, (row_number() OVER (PARTITION BY hit ORDER BY total_weight DESC, near) - 1)::INT AS place, near, total_weight, relation FROM pairs QUALIFY place < 10""")
+def graph_search(spark, sf_dir):
+    g = adapters.graph(spark, sf_dir)
+    return _related(vectors.search_with_relations(g.vectors, g.files, _query_vector(spark, sf_dir), 3, entities=g.entities, edges=g.edges, limit=10, min_weight=0.5, depth=2))
 
 
 # -- paths, chunks, answers, streams
@@ -370,21 +393,60 @@ def filter_dirs(spark, sf_dir):
     return folders.filter(filters.index_directory(F.col("folder"), ["/src1", "/src2", "/src12"], ["fr", "e?"]))
 
 
-EXTENSIONS = (".go", ".py", ".hpp", ".md", ".JS", ".txt", "")
+EXTENSIONS = (*LANGUAGES, ".JS", ".txt", "")
+TAGS = " ".join(f"WHEN {n} THEN '{tag}'" for n, tag in enumerate(LANGUAGES.values()))
 
 
-@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'cpp' WHEN 3 THEN 'markdown' ELSE '' END AS lang_tag FROM documents")
+@query(f"SELECT doc_id, CASE doc_id % {len(EXTENSIONS)} {TAGS} ELSE '' END AS lang_tag FROM documents")
 def language_tag(spark, sf_dir):
-    end = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.pmod("doc_id", F.lit(len(EXTENSIONS))) + 1).cast("int"))
     return adapters.load(spark, sf_dir, "documents").select("doc_id", language(F.concat(F.lit("/a.b/x"), end)).alias("lang_tag"))
 
 
-@query("SELECT p_partkey, p_name, octet_length(encode(p_name)) >= 4 AND regexp_matches(p_name, '[A-Z]') AS worth FROM part")
-def named_entities(spark, sf_dir):
-    return adapters.load(spark, sf_dir, "part").select("p_partkey", "p_name", worth_naming(F.col("p_name")).alias("worth"))
+LISTED = ", ".join(f"'{name}'" for name in extract.COMMON)
+TRIED = (*extract.COMMON, "Ab", "abcd", "Abcd", "abcD", "Ünder", "ÜNDER", "Engine", "mains")
 
 
-@query()
+@query(f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ([{", ".join(f"'{name}'" for name in TRIED)}])[(p_partkey // 2) % {len(TRIED)} + 1] END AS name FROM part)
+SELECT p_partkey, name, octet_length(encode(name)) >= 4 AND name NOT IN ({LISTED}) AND regexp_matches(name, '[A-Z]') AS worth, regexp_matches(name, '^[A-Z]') AS capital FROM t""")
+def named_entities(spark, sf_dir):
+    """Every name of the stop list comes up, and names that differ from them by little."""
+    place = (F.floor(F.col("p_partkey") / 2) % len(TRIED) + 1).cast("int")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.element_at(F.array(*map(F.lit, TRIED)), place))
+    rows = adapters.load(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return rows.select("p_partkey", "name", extract.worth_naming(F.col("name")).alias("worth"), extract.is_capitalized(F.col("name")).alias("capital"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 9 THEN left(p_name, 9) || '...' ELSE p_name END AS short, '  ' || p_name || chr(10) || '  ' || p_type AS indented FROM part")
+def truncate_and_indent(spark, sf_dir):
+    rows = adapters.load(spark, sf_dir, "part")
+    return rows.select("p_partkey", chunker.truncate(F.col("p_name"), 9).alias("short"), indent(F.concat_ws("\n", "p_name", "p_type"), "  ").alias("indented"))
+
+
+CHUNKED = """WITH RECURSIVE d AS (
+  SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT doc_id, k, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS place, count(*) OVER (PARTITION BY doc_id) AS lines FROM s
+), e AS (
+  SELECT doc_id, h, n, coalesce(ends, []) AS ends FROM d LEFT JOIN (SELECT doc_id, list(place ORDER BY k) AS ends FROM p WHERE k < lines GROUP BY doc_id) USING (doc_id)
+), w AS (
+  SELECT doc_id, 0::BIGINT AS start, -1::BIGINT AS a, -1::BIGINT AS b FROM e WHERE n > 512
+  UNION ALL
+  SELECT doc_id, CASE WHEN b1 <= a1 THEN a1 + 100 WHEN b1 >= n THEN n ELSE a1 + 448 END, CASE WHEN b1 - a1 >= 10 THEN a1 ELSE -1 END, b1
+  FROM (SELECT doc_id, n, a1, CASE WHEN stop < n AND coalesce(list_max(list_filter(ends, lambda x: x < stop)), -1) >= a1 THEN list_max(list_filter(ends, lambda x: x < stop)) + 1 WHEN stop < n THEN least(a1, stop) ELSE stop END AS b1
+    FROM (SELECT w.doc_id, n, ends, least(start + 512, n) AS stop, CASE WHEN start = 0 THEN 0 ELSE coalesce(list_min(list_filter(ends, lambda x: x >= start)) + 1, n) END AS a1 FROM w JOIN e USING (doc_id) WHERE start < n))
+), c AS (
+  SELECT doc_id, a, b FROM w WHERE a >= 0 UNION ALL SELECT doc_id, 0, n FROM e WHERE n BETWEEN 10 AND 512
+)
+SELECT doc_id, a AS start_byte, b AS end_byte,
+  (len(list_filter(ends, lambda x: x < a)) + 1)::INT AS start_line, len(list_filter(ends, lambda x: x < b))::INT AS end_line,
+  decode(unhex(substr(h, 2 * a + 1, 2 * (b - a)))) AS content
+FROM c JOIN e USING (doc_id)"""
+
+
+@query(CHUNKED)
 def chunk_docs(spark, sf_dir):
     return chunker.chunks(adapters.load(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -398,7 +460,7 @@ def parse_edges(spark, sf_dir):
     bad = F.lit('{"chunk": 2, "source": "x"}\n{"chunk": "1"}\n{"chunk": 1,},')
     answer = F.concat(F.lit("```json\nHere they are\n"), F.when(k % 5 == 0, bad).otherwise(good), F.lit("\n```"))
     meaning = F.create_map(F.lit(1), F.struct(F.col("event_id").alias("chunk_id"), F.col("user_id").alias("file_id")))
-    return parse_answers(e.select(answer.alias("answer"), meaning.alias("meaning")))
+    return extract.parse_answers(e.select(answer.alias("answer"), meaning.alias("meaning")))
 
 
 SESSIONS = """WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), n AS (
@@ -419,9 +481,126 @@ def debounce_batch(spark, sf_dir):
     return found.select("user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("fire_ts").alias("fire_us"), "n")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+OPS = {"click": "write", "view": "create", "purchase": "remove", "signup": "rename", "error": "chmod"}
+
+
+@query("SELECT CASE event_type WHEN 'click' THEN 'write' ELSE 'create' END AS op, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
 def relevant_events(spark, sf_dir):
-    return debounce.relevant(adapters.load(spark, sf_dir, "events"), "event_type", ("click", "view")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    ops = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
+    events = adapters.load(spark, sf_dir, "events").select(F.try_element_at(ops, F.col("event_type")).alias("op"))
+    return debounce.relevant(events).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- single chunks and files, deletes, states
+
+
+@query(f"WITH {NODES} SELECT 'one' AS what, * FROM chunks WHERE chunk_id = 12 UNION ALL SELECT 'of a file', * FROM chunks WHERE file_id = 31 UNION ALL SELECT 'all', * FROM chunks")
+def chunk_lookups(spark, sf_dir):
+    rows = adapters.graph(spark, sf_dir).chunks
+    found = {"one": lookups.chunk(rows, 12), "of a file": lookups.chunks_of_file(rows, 31), "all": lookups.all_chunks(rows)}
+    parts = [part.select(F.lit(what).alias("what"), "*") for what, part in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"WITH {NODES} SELECT id, path FROM files WHERE id <> 42")
+def delete_file(spark, sf_dir):
+    files = adapters.graph(spark, sf_dir).files
+    path = files.filter("id = 42").select("path").first()[0]
+    return registry.delete_file(files, path).select("id", "path")
+
+
+@query(f"WITH {NODES} SELECT s AS source_entity_id, t AS target_entity_id, r AS relation_type, chunk_id FROM edges WHERE chunk_id <> 7")
+def delete_edges(spark, sf_dir):
+    return registry.delete_edges(adapters.graph(spark, sf_dir).edges, 7).drop("weight")
+
+
+@query(f"WITH {NODES}, d AS (SELECT user_id AS id, min(CASE WHEN user_id % 2 = 0 THEN event_type END) AS m FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT f.id, CASE WHEN d.id IS NULL THEN status ELSE 'failed' END AS status, (retry_count + CASE WHEN d.id IS NULL THEN 0 ELSE 1 END)::INT AS retry_count, CASE WHEN d.id IS NOT NULL THEN coalesce(m, 'unknown error') END AS error_message FROM files f LEFT JOIN d USING (id)")
+def mark_failed(spark, sf_dir):
+    """Half of the failures have no message."""
+    failures = adapters.load(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("message"))
+    return registry.mark_failed(adapters.graph(spark, sf_dir).files, failures).select("id", "status", "retry_count", "error_message")
+
+
+@query(f"WITH {NODES} SELECT id, CASE WHEN id IN (SELECT user_id FROM events) THEN 'processing' ELSE status END AS status FROM files")
+def mark_processing(spark, sf_dir):
+    ids = adapters.load(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    return registry.mark_processing(adapters.graph(spark, sf_dir).files, ids).select("id", "status")
+
+
+@query(f"WITH {NODES} SELECT path, (path LIKE '%src1/%' OR regexp_matches(path, 'src1/')) AS named, regexp_matches(path, '/[0-9]*7\\.txt$') AS ended, (regexp_matches(path, '^/src[12]/') AND NOT path LIKE '%/fr/%' AND NOT regexp_matches(path, '3\\.txt$')) AS followed FROM files")
+def path_patterns(spark, sf_dir):
+    path = F.col("path")
+    named, ended = filters.matches_pattern(path, "src1/"), filters.matches_pattern(path, "*7.txt")
+    followed = filters.daemon_filter(path, ["/src1", "/src2"], ["fr"], [r"3\.txt$"], [])
+    return adapters.graph(spark, sf_dir).files.select("path", named.alias("named"), ended.alias("ended"), followed.alias("followed"))
+
+
+@query("SELECT 'region.parquet' AS name")
+def walk_one_file(spark, sf_dir):
+    """A path of one file isn't filtered."""
+    found = files.walk(spark, f"{sf_dir}/region.parquet", [".*parquet"])
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+
+
+@query("SELECT 'created_by' AS key, 'lodestrand' AS value UNION ALL SELECT 'embedding_dim', '3' UNION ALL SELECT 'k', 'second' UNION ALL SELECT 'schema_version', '2.4.0'")
+def store_meta(spark, sf_dir):
+    store = GraphStore.create(spark, shared_path(spark, "store"), 3)
+    for value in ("first", "second"):
+        store.set_meta("k", value)
+    return store.meta
+
+
+@query(f"""WITH {NODES}, q AS (SELECT row_number() OVER (ORDER BY path) AS id, path FROM files)
+SELECT id, path, CASE WHEN id <= 60 AND id % 7 <> 0 THEN 'indexed' ELSE 'pending' END AS status, CASE WHEN id <= 60 AND id % 7 = 0 THEN 1 ELSE 0 END AS retry_count, CASE WHEN id <= 60 AND id % 7 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_chunks FROM q""")
+def queue_batches(spark, sf_dir):
+    """A store's queue after three batches of twenty files, of which every seventh fails."""
+    store = GraphStore.create(spark, shared_path(spark, "store"), 1)
+    rows = adapters.graph(spark, sf_dir).files.select("path", "last_mod_time", "content_hash", F.lit(0).alias("seq"))
+    workqueue.enqueue(store, rows)
+
+    def index(batch: DataFrame):
+        chunks = batch.select(F.col("id").alias("file_id"), F.col("path").alias("content_snippet"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
+        return chunks, batch.filter("id % 7 = 0").select("id", F.lit(None).cast("string").alias("message"))
+
+    tops = [r["id"] for r in store.files.orderBy("path").select("id").limit(60).collect()]
+    for _ in range(3):
+        workqueue.index_once(store, index, 20)
+        # Failed ones wait again, with a later time, behind the rest.
+    chunks = store.chunks.groupBy(F.col("file_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    assert tops == list(range(1, len(tops) + 1))
+    return store.files.join(chunks, "id", "left").select("id", "path", "status", "retry_count", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"))
+
+
+class TwoLines:
+    """A model that names one relation twice, and fails over one nation."""
+
+    def complete(self, prompt: str) -> str:
+        if "FRANCE" in prompt or "NATION_6" in prompt:
+            return '{"chunk": 1, "source": 5}'
+        line = '{"chunk": %d, "source": "A", "source_type": "T", "target": "B", "target_type": "T", "relation_type": "%s"}'
+        return "\n".join(line % (n, relation) for n in range(1, prompt.count("## Chunk") + 1) for relation in ("uses", "calls"))
+
+
+@query("""WITH n AS (SELECT n_nationkey::BIGINT AS chunk_id, n_name, n_nationkey // 5 AS batch FROM nation), bad AS (SELECT DISTINCT batch FROM n WHERE n_name LIKE '%FRANCE%' OR n_name LIKE '%NATION_6%')
+SELECT chunk_id, CASE WHEN batch IN (SELECT batch FROM bad) THEN 'failed' ELSE 'calls' END AS outcome FROM n""")
+def extract_last_line(spark, sf_dir):
+    """Of two lines about one edge the last stands, and a bad answer fails its own chunks alone."""
+    nations = adapters.load(spark, sf_dir, "nation")
+    chunks = nations.select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.lit(1).cast("long").alias("file_id"), F.lit("/n").alias("path"), F.col("n_name").alias("content_snippet"))
+    raw = settled(extract.extract(chunks, TwoLines(), 5), "raw")
+    none = lambda schema: spark.createDataFrame([], schema)
+    _, edges = extract.store_edges(none(schemas.ENTITIES), none(schemas.EDGES), raw.filter("error IS NULL"))
+    return edges.select("chunk_id", F.col("relation_type").alias("outcome")).union(raw.filter("error IS NOT NULL").select("chunk_id", F.lit("failed").alias("outcome")))
+
+
+@query("SELECT 'u' || user_id AS source, '' AS source_type, event_type AS target, '' AS target_type, 'did' AS relation_type FROM events WHERE json_extract(props, '$.k')::INT % 5 <> 0")
+def parse_array_answers(spark, sf_dir):
+    """Answers that are JSON arrays; every fifth is none."""
+    e = adapters.load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    good = F.concat(F.lit('[{"source": "u'), F.col("user_id").cast("string"), F.lit('", "target": "'), F.col("event_type"), F.lit('", "relation_type": "did"}]'))
+    bad = F.when(k % 2 == 0, F.lit('{"source": "x"}')).otherwise(F.lit('["x"]'))
+    return extract.parse_array_answers(e.select(F.when(k % 5 == 0, bad).otherwise(good).alias("answer")))
 
 
 FLAGSHIP = "count_top10"

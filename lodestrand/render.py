@@ -37,16 +37,35 @@ def yaml_lines(query: str, rows: DataFrame) -> Iterator[str]:
     yield f"total: {n}"
 
 
-def markdown_report(query: str, hits: list) -> str:
-    """A report of search hits (path, content_snippet, start_line, end_line, distance)."""
+# The wording of reports, which readers of them rely on.
+HEADER = "# Search Results\n\n**Query:** `{}`\n\n**Found {} results**\n\n"
+PLACE = "**File:** `{}` | **Lines:** {}-{} | **Distance:** {:.4f}"
+RELATED = "#### {}/{}: {} ({}) - Lines {}-{}\n\n"
+
+
+def _block(path: str, content: str) -> str:
+    tag = LANGUAGES.get(posixpath.splitext(path)[1], "")
+    return f"```{tag}\n{content}" + ("" if content.endswith("\n") else "\n") + "```\n\n"
+
+
+def markdown_report(query: str, hits: list, chunks: dict | None = None) -> str:
+    """A report of search hits (path, content_snippet, start_line, end_line, distance).
+
+    Hits with `related` (chunk_id, relation) go with the text of those that are among
+    `chunks` (by id: path, content_snippet, start_line, end_line); others are counted only.
+    """
     if not hits:
         return "No results found\n"
-    out = [f"# Search Results\n\n**Query:** `{query}`\n\n**Found {len(hits)} results**\n\n"]
+    out = [HEADER.format(query, len(hits))]
     for n, hit in enumerate(hits, 1):
-        content = hit["content_snippet"] if hit["content_snippet"].endswith("\n") else hit["content_snippet"] + "\n"
-        tag = LANGUAGES.get(posixpath.splitext(hit["path"])[1], "")
-        place = f"**File:** `{hit['path']}` | **Lines:** {hit['start_line']}-{hit['end_line']} | **Distance:** {hit['distance']:.4f}"
-        out.append(f"---\n\n## {n}/{len(hits)}. {posixpath.basename(hit['path'])}\n\n{place}\n\n```{tag}\n{content}```\n\n")
+        place = PLACE.format(hit["path"], hit["start_line"], hit["end_line"], hit["distance"])
+        out.append(f"---\n\n## {n}/{len(hits)}. {posixpath.basename(hit['path'])}\n\n{place}\n\n{_block(hit['path'], hit['content_snippet'])}")
+        related = (hit["related"] or []) if "related" in hit else []
+        out += ["### Related Chunks\n\n"] * bool(related)
+        for k, near in enumerate(related, 1):
+            if (chunk := (chunks or {}).get(near["chunk_id"])) is not None:
+                out.append(RELATED.format(k, len(related), chunk["path"], near["relation"], chunk["start_line"], chunk["end_line"]))
+                out.append(_block(chunk["path"], chunk["content_snippet"]))
     return "".join(out)
 
 

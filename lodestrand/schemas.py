@@ -10,7 +10,11 @@ ENTITIES = "id long, name string, entity_type string, chunk_id long"
 EDGES = "source_entity_id long, target_entity_id long, relation_type string, chunk_id long, weight double"
 STATE = "chunk_id long, graph_extracted boolean, extracted_at timestamp"
 TABLES = {"meta": META, "files": FILES, "chunks": CHUNKS, "entities": ENTITIES, "edges": EDGES, "state": STATE}
+#: What a row of each table is known by: a change replaces all rows of its key.
+KEYS = {"meta": ["key"], "files": ["id"], "chunks": ["file_id"], "entities": ["id"], "edges": ["source_entity_id", "target_entity_id", "chunk_id"], "state": ["chunk_id"]}
 #: Columns that older stores' files tables lack, with their values.
 QUEUE_COLUMNS = {"status": ("string", "indexed"), "error_message": ("string", None), "retry_count": ("int", 0), "queued_at": ("timestamp", None)}
 EDGE = "source string, source_type string, target string, target_type string, relation_type string, chunk_id long, file_id long"
+#: Raw edges with their place in the answer, or what went wrong with their chunk.
+RAW_EDGE = f"{EDGE}, seq int, error string"
 EVENTS = "path string, op string, ts timestamp"

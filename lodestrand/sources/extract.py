@@ -9,7 +9,7 @@ import struct
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand import schemas
@@ -130,9 +130,17 @@ def parse_array(text: str) -> list[tuple]:
         raise AnswerError(str(e)) from e
     if not isinstance(found, list):
         raise AnswerError("not an array")
+    if any(not isinstance(x, dict) for x in found):
+        raise AnswerError("an element isn't an object")
     return [tuple(str(x.get(f) or "") for f in FIELDS) for x in found]
 
 
+def extract_edges(code: str, extractor: Extractor) -> list[tuple]:
+    """Edges (FIELDS) of one text, from an answer that is a JSON array."""
+    ask = "Name the entities of this code and how they relate, as a JSON array of objects with the keys source, source_type, target, target_type and relation_type."
+    return parse_array(extractor.complete(f"{ask}\n\n{FENCE}\n{code}\n{FENCE}\n"))
+
+
 def parse_answers(rows: DataFrame, answer: str = "answer", meaning: str = "meaning") -> DataFrame:
     """Edges of every row's answer; meaning is map<int, struct<chunk_id, file_id>>.
     Answers of which nothing can be used give no rows."""
@@ -152,28 +160,55 @@ def parse_answers(rows: DataFrame, answer: str = "answer", meaning: str = "meani
     return rows.select(F.col(answer).alias("answer"), F.col(meaning).alias("meaning")).mapInPandas(run, schemas.EDGE)
 
 
+def parse_array_answers(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Edges (FIELDS) of every row's answer, a JSON array; answers that are none give no rows."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch["answer"]:
+                try:
+                    out += parse_array(text or "")
+                except AnswerError:
+                    continue
+            yield pd.DataFrame(out, columns=list(FIELDS))
+
+    return rows.select(F.col(answer).alias("answer")).mapInPandas(run, ", ".join(f"{f} string" for f in FIELDS))
+
+
 def extract(chunks: DataFrame, extractor: Extractor, batch: int = BATCH) -> DataFrame:
     """Edges of chunks (chunk_id, file_id, path, content_snippet), a prompt for each run
-    of `batch` ids, so that prompts are the same whatever the partitions."""
+    of `batch` ids, so that prompts are the same whatever the partitions.
+
+    seq is an edge's place in its answer.  A prompt without a usable answer gives a row
+    for each of its chunks, with the error and nothing else; the others aren't touched.
+    """
     ship(chunks.sparkSession)
     rows = chunks.select("chunk_id", "file_id", "path", "content_snippet", F.floor(F.col("chunk_id") / batch).alias("batch"))
+    columns = [*FIELDS, "chunk_id", "file_id", "seq", "error"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_id")
         prompt, meaning = build_prompt(list(pdf[["chunk_id", "file_id", "path", "content_snippet"]].itertuples(index=False, name=None)))
-        return pd.DataFrame(parse_jsonl(extractor.complete(prompt), meaning), columns=[*FIELDS, "chunk_id", "file_id"])
+        try:
+            found = [(*edge, n, None) for n, edge in enumerate(parse_jsonl(extractor.complete(prompt), meaning))]
+        except Exception as e:  # whatever the model raises is this prompt's failure and no other's
+            found = [(*[None] * len(FIELDS), *ids, 0, str(e) or type(e).__name__) for ids in meaning.values()]
+        return pd.DataFrame(found, columns=columns)
 
-    return rows.groupBy("batch").applyInPandas(run, schemas.EDGE)
+    return rows.groupBy("batch").applyInPandas(run, schemas.RAW_EDGE)
 
 
-def store_edges(entities: DataFrame, edges: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """entities and edges with the raw edges put in; both ends belong to the edge's chunk."""
+def store_edges(entities: DataFrame, edges: DataFrame, raw: DataFrame, greatest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """entities and edges with the raw edges put in; both ends belong to the edge's chunk.
+    Of a source, target and chunk the last line of the answer (seq) stands.  `greatest`:
+    the greatest id there is, where `entities` are only those of the chunks."""
     ends = raw.select(F.col("source").alias("name"), F.col("source_type").alias("entity_type"), "chunk_id").union(raw.select("target", "target_type", "chunk_id"))
-    after = upsert_entities(entities, ends)
+    after = upsert_entities(entities, ends, greatest)
     a = after.select(F.col("id").alias("source_entity_id"), F.col("name").alias("source"), F.col("entity_type").alias("source_type"), "chunk_id")
     b = after.select(F.col("id").alias("target_entity_id"), F.col("name").alias("target"), F.col("entity_type").alias("target_type"), "chunk_id")
-    order = F.row_number().over(Window.partitionBy("chunk_id").orderBy(*FIELDS))
-    keyed = raw.withColumn("seq", order).join(a, ["source", "source_type", "chunk_id"]).join(b, ["target", "target_type", "chunk_id"])
+    keyed = raw.join(a, ["source", "source_type", "chunk_id"]).join(b, ["target", "target_type", "chunk_id"])
     return after, upsert_edges(edges, keyed.select("source_entity_id", "target_entity_id", "relation_type", "chunk_id", "seq"))
 
 
@@ -189,9 +224,19 @@ COMMON = (
 )
 
 
+def is_common(name):
+    """A column: whether a name is too short or too common to tell an entity, or has no capital."""
+    return (F.octet_length(name) < 4) | name.isin(*COMMON) | ~name.rlike("[A-Z]")
+
+
+def is_capitalized(name):
+    """A column: whether a name starts with one of A to Z."""
+    return name.rlike("^[A-Z]")
+
+
 def worth_naming(name):
     """A column: whether a name has four bytes, isn't common and has a capital."""
-    return (F.octet_length(name) >= 4) & ~name.isin(*COMMON) & name.rlike("[A-Z]")
+    return ~is_common(name)
 
 
 def relations_by_pattern(text: str, pattern: str) -> list[tuple[str, ...]]:

@@ -15,11 +15,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests in one JVM) is one set here.
+    Only where the session names none and driver and executors are one process (tests)
+    is one set here: other executors couldn't read it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"/tmp/lodestrand-checkpoints-{uuid.uuid4().hex}"
         context.setCheckpointDir(named)
     return named.rstrip("/")

@@ -1,18 +1,25 @@
 """Store, registry, sources, streams and reports."""
 
 import hashlib
+import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand import config, queries, render
 from lodestrand.operators import lookups, registry, vectors
-from lodestrand.sources import extract, files
+from lodestrand.engine import Engine
+from lodestrand.functions import indent
+from lodestrand.sources import extract, files, provider
 from lodestrand.sources.chunker import Windows, cut, truncate
-from lodestrand.sources.filters import index_directory, index_file
+from lodestrand.sources.filters import daemon_filter, index_directory, index_file, matches_pattern
 from lodestrand.sources.sniff import is_binary
 from lodestrand.store import GraphStore, StoreError
 from lodestrand.streaming import debounce, workqueue
+from lodestrand.streaming.daemon import Daemon, Watcher
 
 SMALL = Windows(20, 5, 5, 100)
 
@@ -45,10 +52,10 @@ def test_store_and_queue(spark, tmp_path):
         GraphStore.create(spark, "", 3)
     with pytest.raises(StoreError):
         GraphStore.create(spark, str(tmp_path / "x"), 0)
-    store = GraphStore.create(spark, str(tmp_path / "s"), 3)
+    store = GraphStore.create(spark, str(tmp_path / "s"), 1)
     store.health_check()
     with pytest.raises(StoreError):
-        GraphStore.create(spark, str(tmp_path / "s"), 3)
+        GraphStore.create(spark, str(tmp_path / "s"), 1)
     with pytest.raises(StoreError):
         GraphStore.open(spark, str(tmp_path / "s"), 4)
     with pytest.raises(KeyError):
@@ -99,12 +106,18 @@ def test_filters(spark):
     def one(column, path):
         return spark.createDataFrame([(path,)], "p string").select(column(F.col("p"))).first()[0]
 
-    p = "/home/user/project"
-    for path, black, white, want in [("file.go", [], [], True), ("secret.txt", [r".*\.secret$", r".*secret\.txt$"], [], False), ("important.secret", [r".*\.secret$"], [r".*important\.secret$"], True), ("test_file.go", [r".*_test\.go$", r".*\.tmp$", "**/*.go"], [], True)]:
+    p = "/data/maps"
+    black, white = [r"draft/", r"[.]bak$", "**/*.txt"], [r"draft/keep"]
+    for path, want in [("a/rivers.csv", True), ("draft/rivers.csv", False), ("draft/keep.csv", True), ("a/rivers.bak", False), ("draft/keep.bak", True), ("a/rivers.txt", True)]:
         assert one(lambda c: index_file(c, black, white), f"{p}/{path}") is want
-    for path, exclude, want in [(f"{p}/src", ["node_modules", ".git"], True), ("/opt/external", [], False), (f"{p}/node_modules", ["node_modules"], False), (p, [], True)]:
+    for path, exclude, want in [(f"{p}/north", ["tiles", "c?che"], True), ("/data/mapsheets", [], False), (f"{p}/cache", ["c?che"], False), (f"{p}/tiles/5", ["tiles"], False), (f"{p}/[x", ["[x"], False), (p, [], True)]:
         assert one(lambda c: index_directory(c, [p], exclude), path) is want
+    for path, pattern, want in [("/m/alps.csv", "alp*.csv", True), ("/m/alps.csv", "lps", True), ("/m/alps.csv", r"a.ps\.", True), ("/m/alps.csv", "*.txt", False)]:
+        assert one(lambda c: matches_pattern(c, pattern), path) is want
+    assert one(lambda c: daemon_filter(c, [p], ["tiles"], [r"[.]bak$"], []), f"{p}/north/a.csv") is True
+    assert [one(lambda c: daemon_filter(c, [p], ["tiles"], [r"[.]bak$"], []), f"{p}/{x}") for x in ("tiles/a.csv", "north/a.bak")] == [False, False]
     assert one(lambda c: truncate(c, 3), "abcdef") == "abc..." and one(lambda c: truncate(c, 3), "abc") == "abc"
+    assert one(lambda c: indent(c, "> "), "a\nb\n") == "> a\n> b\n> "
 
 
 def test_answers():
@@ -154,20 +167,62 @@ def test_five_writes_fire_once(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    shared = config.Config(include=("/home/user/project",), exclude=("node_modules",), blacklist=("a",))
-    local = config.Config(include=("./vendor",), exclude=("tmp/",), blacklist=("b",))
-    daemon = config.merge_for_daemon(shared, local, "/home/user/project")
-    assert daemon.exclude == ("node_modules", "/home/user/project/tmp") and daemon.blacklist == ("a", "b") and daemon.include == shared.include
-    assert config.merge_for_cli(shared, local, "/home/user/project").include[-1] == "/home/user/project/vendor"
+    shared = config.Config(include=("/data/maps",), exclude=("tiles",), blacklist=("a",))
+    local = config.Config(include=("north", "./south"), exclude=("old/",), blacklist=("b",), whitelist=("c",))
+    daemon = config.merge_for_daemon(shared, local, "/data/maps")
+    assert daemon.exclude == ("tiles", "/data/maps/old") and daemon.blacklist == ("a", "b") and (daemon.include, daemon.whitelist) == (shared.include, ())
+    assert config.merge_for_cli(shared, local, "/data/maps").include[-2:] == ("/data/maps/north", "/data/maps/south")
     with pytest.raises(config.ConfigError):
-        config.merge_for_cli(shared, config.Config(include=("/opt/external",)), "/home/user/project")
+        config.merge_for_cli(shared, config.Config(include=("/data/mapsheets",)), "/data/maps")
     with pytest.raises(config.ConfigError):
-        config.check_inside("../../other", "/home/user/project/subdir")
-    assert config.resolve("../shared", "/home/user/project") == "/home/user/shared"
+        config.check_inside("../../b", "/data/maps/north")
+    assert config.resolve("../b", "/data/maps") == "/data/b" and config.check_inside("x/../y", "/data/maps") == "/data/maps/y"
     cache = config.ConfigCache(shared)
     assert cache.get(str(tmp_path / "x")) is cache.get(str(tmp_path / "x"))
 
 
+def test_config_files(tmp_path):
+    pytest.importorskip("yaml")
+    whole = tmp_path / "global.yaml"
+    whole.write_text("active_profile: maps\nprofiles:\n  maps:\n    include: [/data/maps]\n    exclude: [tiles]\n    llm_provider: openai\n")
+    found = config.load_global(str(whole))
+    assert (found.include, found.exclude, found.options) == (("/data/maps",), ("tiles",), {"llm_provider": "openai"})
+    whole.write_text("active_profile: other\nprofiles: {maps: {}}\n")
+    with pytest.raises(config.ConfigError):
+        config.load_global(str(whole))
+    whole.write_text("a: [")
+    with pytest.raises(config.ConfigError):
+        config.load_global(str(whole))
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    local = tmp_path / "in" / config.LOCAL_NAME
+    local.write_text("exclude: [old]\n")
+    assert config.load_local(str(local)).include == ()
+    merged = config.config_for_file(config.Config(), str(tmp_path / "in" / "deep" / "f.txt"))
+    assert merged.exclude == (str(tmp_path / "in" / "old"),)
+
+
+def test_config_listener_tells_of_local_files(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a").mkdir()
+    path, told = tmp_path / "a" / config.LOCAL_NAME, []
+    cache = config.ConfigCache(config.Config())
+    cache.listen(lambda where, event: told.append((where, event)))
+    assert cache.get(str(tmp_path / "a" / "f")).exclude == ()
+    with config.ConfigWatcher(cache, [str(tmp_path)], poll=0.02) as watcher:
+        wait = lambda n: [time.sleep(0.02) for _ in range(250) if len(told) < n]
+        path.write_text("exclude: [x]\n")
+        wait(1)
+        assert cache.get(str(tmp_path / "a" / "f")).exclude == (str(tmp_path / "a" / "x"),)
+        path.write_text("exclude: [x, y]\n")
+        wait(2)
+        assert len(cache.get(str(tmp_path / "a" / "f")).exclude) == 2
+        path.rename(tmp_path / "a" / "gone.yaml")
+        wait(3)
+        assert cache.get(str(tmp_path / "a" / "f")).exclude == ()
+    assert [e for _, e in told] == ["created", "modified", "deleted"] and {w for w, _ in told} == {str(path)}
+    watcher.close()
+
+
 def test_lookups(spark):
     edges = spark.createDataFrame([(1, 2, "calls", 1, 1.0), (1, 3, "imports", 1, 1.0)], "source_entity_id long, target_entity_id long, relation_type string, chunk_id long, weight double")
     entities = spark.createDataFrame([(1, "A", "F", 1), (2, "B", "F", 1), (3, "C", "T", 1)], "id long, name string, entity_type string, chunk_id long")
@@ -180,8 +235,6 @@ def test_lookups(spark):
 
 
 def test_engine_end_to_end(spark, tmp_path):
-    from lodestrand.engine import Engine
-
     class Model:
         def complete(self, prompt):
             return '{"chunk":1,"source":"Fun","source_type":"FUNCTION","target":"Gun","target_type":"TYPE","relation_type":"calls"}'
@@ -208,3 +261,253 @@ def test_engine_end_to_end(spark, tmp_path):
     assert [tuple(r) for r in engine.query("MATCH (a:FUNCTION)-[:calls]->(b) RETURN b.name").collect()] == [("Gun",)]
     assert engine.hybrid_search("rivers", 3).count() == 3
     assert "Files: 3" in engine.status() and "indexed: 3" in engine.status()
+
+
+def test_changes_cost_their_own_size(spark, tmp_path, monkeypatch):
+    store = GraphStore.create(spark, str(tmp_path / "s"), 1)
+    rows = lambda *r: spark.createDataFrame([(i, n, "T", 1) for i, n in r], "id long, name string, entity_type string, chunk_id long")
+    there = lambda: {r.id: r.name for r in store.entities.collect()}
+    store.write("entities", rows((1, "a"), (2, "b"), (3, "c")))
+    store.merge("entities", rows((2, "B"), (4, "d")))
+    assert there() == {1: "a", 2: "B", 3: "c", 4: "d"} and store.greatest("entities") == 4
+    store.merge("entities", rows((2, "BB")), spark.createDataFrame([(2,), (3,)], "id long"))
+    assert there() == {1: "a", 2: "BB", 4: "d"}
+    (tmp_path / "s" / "entities" / "d99" / "rows").mkdir(parents=True)  # a writer that failed
+    assert there() == {1: "a", 2: "BB", 4: "d"}
+    names = sorted(p.name for p in (tmp_path / "s" / "entities").iterdir())
+    assert names == ["d3", "d4", "d99", "v1", "v2"]
+    monkeypatch.setattr(GraphStore, "MERGES", 2)
+    store.merge("entities", rows((1, "A")))
+    assert [kind for _, kind in store._versions("entities")] == ["v"] and there() == {1: "A", 2: "BB", 4: "d"}
+    store.vacuum()
+    assert there() == {1: "A", 2: "BB", 4: "d"}
+
+
+def test_a_batch_writes_only_its_own_files(spark, tmp_path):
+    store = GraphStore.create(spark, str(tmp_path / "s"), 1)
+    changes = spark.createDataFrame([(f"/{k:03d}", k, "h", 0) for k in range(200)], "path string, last_mod_time long, content_hash string, seq int")
+    workqueue.enqueue(store, changes)
+
+    def index(batch):
+        return batch.select(F.col("id").alias("file_id"), F.lit("x").alias("content_snippet"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")), batch.filter("id = 3").select("id", F.lit(None).cast("string").alias("message"))
+
+    assert workqueue.index_once(store, index) == 5
+    changed = [spark.read.parquet(str(tmp_path / "s" / t / f"d{n}" / "rows")).count() for t, n in (("files", 3), ("files", 4), ("chunks", 2))]
+    assert changed == [5, 5, 4]
+    states = {r.id: (r.status, r.retry_count, r.error_message) for r in store.files.filter("id <= 6").collect()}
+    assert states[3] == ("pending", 1, registry.NO_MESSAGE) and states[6] == ("pending", 0, None) and states[1] == ("indexed", 0, None)
+
+    def wrong(batch):
+        chunks, none = index(batch)
+        return chunks.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")), none
+
+    with pytest.raises(vectors.DimensionError):
+        workqueue.index_once(store, wrong)
+    assert store.chunks.count() == 4
+
+
+def test_failing_answers_are_rows(spark, tmp_path):
+    store = GraphStore.create(spark, str(tmp_path / "s"), 1)
+    store.write("files", spark.createDataFrame([(1, "/a", 0, "h", None, "indexed", None, 0, None)], store.files.schema))
+    store.write("chunks", spark.createDataFrame([(k, 1, f"text {k}", 1, 1, [1.0]) for k in (1, 2, 100, 200)], store.chunks.schema))
+
+    class Model:
+        def complete(self, prompt):
+            if "text 100" in prompt:
+                raise OSError("no connection")
+            if "text 200" in prompt:
+                return '{"chunk": 7}'
+            line = '{"chunk":%d,"source":"a","source_type":"T","target":"b","target_type":"T","relation_type":"%s"}'
+            return "\n".join(line % (n, r) for n in (1, 2) for r in ("uses", "calls"))
+
+    run = lambda chunks: extract.extract(chunks, Model())
+    good, edges, failures = workqueue.process_chunks(store, lookups.needing_extraction(store.chunks, store.state), run)
+    assert (good, edges) == (2, 4)
+    assert {r.chunk_id: r.message for r in failures.collect()}.keys() == {100, 200}
+    assert sorted((r.chunk_id, r.relation_type) for r in store.edges.collect()) == [(1, "calls"), (2, "calls")]
+    assert workqueue.extract_once(store, run) == 0 and store.entities.count() == 4
+    with pytest.raises(extract.AnswerError):
+        extract.parse_array('["x"]')
+    assert extract.extract_edges("code", type("M", (), {"complete": lambda self, p: '[{"source":"f"}]'})()) == [("f", "", "", "", "")]
+
+
+def test_one_file_and_files_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("short\n")
+    (tmp_path / "in" / "b.txt").write_text("far too long to be read\n")
+    (tmp_path / "in" / "c.bak").write_text("x\n")
+    monkeypatch.setattr(files, "MOST_BYTES", 10)
+    one = str(tmp_path / "in" / "c.bak")
+    assert files.walk(spark, one, [r"[.]bak$"]).count() == 1
+    assert [r.path for r in files.walk(spark, str(tmp_path / "in"), [r"[.]bak$"]).collect()] == [str(tmp_path / "in" / "a.txt")]
+    assert [tuple(r) for r in files.unreadable(spark, str(tmp_path / "in")).collect()] == [(str(tmp_path / "in" / "b.txt"), "the file is too long")]
+    engine = Engine(spark, str(tmp_path / "s"), dim=8)
+    assert engine.queue(str(tmp_path / "in"), [r"[.]bak$"]) == {"queued": 1, "skipped": 1, "errors": 1}
+    assert engine.queue(one, [r"[.]bak$"]) == {"queued": 1, "skipped": 0, "errors": 0}
+    (tmp_path / "in" / "a.txt").unlink()
+    assert engine.index_once() == 2
+    assert {r.path.rsplit("/", 1)[1]: (r.status, r.error_message) for r in engine.store.files.collect()} == {"a.txt": ("pending", "the file can't be read"), "c.bak": ("indexed", None)}
+
+
+def test_daemon_follows_folders(spark, tmp_path):
+    class Model:
+        def complete(self, prompt):
+            return '{"chunk":1,"source":"A","source_type":"T","target":"B","target_type":"T","relation_type":"calls"}'
+
+    folder = tmp_path / "in"
+    (folder / "tiles").mkdir(parents=True)
+    (folder / "a.txt").write_text("first words of a file\n")
+    (folder / "b.bak").write_text("a copy that nobody wants\n")
+    (folder / "tiles" / "t.txt").write_text("an excluded folder's file\n")
+    engine = Engine(spark, str(tmp_path / "s"), extractor=Model(), dim=16)
+    daemon = Daemon(engine, [str(folder)], ["tiles"], [r"[.]bak$"], debounce=0)
+    assert daemon.step() == {"queued": 1, "indexed": 1, "extracted": 1}
+    assert daemon.step() == {"queued": 0, "indexed": 0, "extracted": 0}
+    (folder / "a.txt").write_text("other words in the same file\n")  # a change to a known file
+    stop, told = threading.Event(), []
+    daemon.tell = lambda line: (told.append(line), stop.set())
+    worker = threading.Thread(target=daemon.run, args=(stop, 0.05))
+    worker.start()
+    worker.join(120)
+    assert told == ["queued 1, indexed 1, extracted 1"]
+    assert [r.content_snippet for r in engine.store.chunks.collect()] == ["other words in the same file\n"]
+
+
+def test_watched_folders(spark, tmp_path):
+    watcher = Watcher(spark, debounce=0)
+    assert watcher.poll() is None
+    watcher.watch(str(tmp_path)), watcher.watch(str(tmp_path))
+    assert watcher.watched() == [str(tmp_path)]
+    (tmp_path / "f").write_text("x")
+    assert [r.path for r in watcher.poll().collect()] == [str(tmp_path / "f")]
+    watcher.unwatch(str(tmp_path)), watcher.unwatch(str(tmp_path))
+    assert watcher.watched() == [] and watcher.poll() is None
+    watcher.watch(str(tmp_path))
+    slow = Watcher(spark, debounce=3600)
+    slow.watch(str(tmp_path))
+    assert slow.poll().count() == 0  # not quiet yet
+    watcher.close(), watcher.close()
+    assert watcher.watched() == []
+
+
+@pytest.fixture
+def service():
+    """A model server: counts requests, fails as often as it is told to."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.answer(200, "up")
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            state["seen"].append((self.path, body, self.headers.get("Authorization")))
+            if state["fail"]:
+                return self.answer(state["fail"].pop(0), "no")
+            if self.path == provider.EMBED:
+                return self.answer(200, {"embedding": [float(len(body["prompt"])), 1.0]} if body["prompt"] else {})
+            if self.path.endswith(provider.CHAT):
+                return self.answer(200, {"choices": [{"message": {"content": "chat"}}] if state["choices"] else []})
+            return self.answer(200, {"response": "text"})
+
+        def answer(self, code, body):
+            data = (body if isinstance(body, str) else json.dumps(body)).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    state = {"seen": [], "fail": [], "choices": True}
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    state["url"] = f"http://127.0.0.1:{server.server_port}"
+    yield state
+    server.shutdown()
+
+
+def test_local_model(service):
+    model = provider.LocalModel("m", service["url"], delay=0.01, retries=2)
+    model.ping()
+    assert model.embed(["a", "bbb", "cc"]) == [[1.0, 1.0], [3.0, 1.0], [2.0, 1.0]]
+    with pytest.raises(provider.ProviderError, match="text 1"):
+        model.embed(["a", ""])
+    service["seen"].clear()
+    assert model.generate("p", "s") == "text" and model.complete("p") == "text"
+    assert [b.get("format") for _, b, _ in service["seen"]] == [None, "json"] and service["seen"][0][1]["system"] == "s"
+
+
+def test_requests_are_tried_again(service):
+    model = provider.LocalModel("m", service["url"], delay=0.01, retries=2)
+    service["fail"] = [503, 429]
+    assert model.generate("p") == "text" and len(service["seen"]) == 3
+    service["fail"] = [500, 500, 500]
+    with pytest.raises(provider.ProviderError, match="status 500"):
+        model.generate("p")
+    service["seen"].clear()
+    service["fail"] = [404]
+    with pytest.raises(provider.ProviderError, match="status 404"):
+        model.generate("p")
+    assert len(service["seen"]) == 1
+    began = time.time()
+    with pytest.raises(provider.ProviderError):
+        provider.LocalModel("m", "http://127.0.0.1:9", delay=0.05, retries=2).ping()
+    assert time.time() - began >= 0.15
+
+
+def test_chat_model_and_choice(service):
+    model = provider.ChatModel("m", service["url"], "key", delay=0.01)
+    assert model.complete("p") == "chat"
+    path, body, key = service["seen"][0]
+    assert path == provider.CHAT and key == "Bearer key" and [m["role"] for m in body["messages"]] == ["system", "user"]
+    service["choices"] = False
+    with pytest.raises(provider.ProviderError):
+        model.complete("p")
+    kind = lambda **options: type(provider.choose(options)[1]).__name__
+    assert kind() == "LocalModel" and kind(llm_base_url="https://openrouter.ai/v1") == "ChatModel" and kind(llm_provider="OpenAI") == "ChatModel"
+    assert kind(llm_provider="ollama", llm_base_url="https://api.openai.com/v1") == "LocalModel"
+    embedder, graph = provider.choose({"llm_base_url": "http://far:1", "graph_driver": {"model": "g"}, "embedding_model": "e"})
+    assert (embedder.base_url, embedder.model, graph.base_url, graph.model) == (provider.LOCAL, "e", "http://far:1", "g")
+
+
+def test_model_server_serves_an_engine(service, spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one line of text\n" * 3)
+    engine = Engine(spark, str(tmp_path / "s"), provider.LocalModel("m", service["url"]), dim=2)
+    assert engine.index_folder(str(tmp_path / "in")) == 1
+    assert [r.embedding for r in engine.store.chunks.collect()] == [[51.0, 1.0]]
+    with pytest.raises(vectors.DimensionError):
+        Engine(spark, str(tmp_path / "t"), provider.LocalModel("m", service["url"]), dim=3).index_folder(str(tmp_path / "in"))
+
+
+def test_related_chunks_in_reports(spark):
+    hit = {"path": "/a.py", "content_snippet": "x", "start_line": 1, "end_line": 2, "distance": 0.5, "chunk_id": 1, "related": [{"chunk_id": 9, "relation": "calls"}, {"chunk_id": 8, "relation": "uses"}]}
+    text = render.markdown_report("q", [hit], {9: {"path": "/b.go", "content_snippet": "y\n", "start_line": 3, "end_line": 4}})
+    assert "### Related Chunks\n\n#### 1/2: /b.go (calls) - Lines 3-4\n\n```go\ny\n```\n\n" in text and "#### 2/2" not in text
+    with pytest.raises(vectors.ChunkError):
+        vectors.chunk_distance(spark.createDataFrame([(1, [1.0])], "chunk_id long, embedding array<float>"), 1, 2, strict=True)
+
+
+def test_sniffing_of_containers():
+    box = lambda brand: (24).to_bytes(4, "big") + b"ftyp" + brand + b"\0\0\0\1" + b"isomavc1"
+    assert is_binary(box(b"mp42") + b"text") and is_binary(b"RIFF1234WAVEfmt ") and is_binary(b"RIFF1234WEBPVP8 ")
+    assert not is_binary(b"Rxxxftyp is plain text here") and not is_binary(b"RIFF is a word, WAVE too")
+
+
+def test_tasks_of_the_queue_are_told(spark, tmp_path):
+    told = []
+    listener = workqueue.StatusListener(told.append)
+    spark.streams.addListener(listener)
+    rows = spark.createDataFrame([("/a", 1, "h")], "path string, last_mod_time long, content_hash string")
+    rows.write.parquet(str(tmp_path / "in"))
+    store = GraphStore.create(spark, str(tmp_path / "s"), 1)
+    query = workqueue.run_queue(store, spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "c"), once=True)
+    query.awaitTermination(60)
+    assert [r.path for r in store.files.collect()] == ["/a"]
+    for _ in range(100):
+        if any(line.startswith("ended") for line in told):
+            break
+        time.sleep(0.05)
+    spark.streams.removeListener(listener)
+    assert told[0].startswith("started") and any("1 rows" in line for line in told)
