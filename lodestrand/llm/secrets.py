@@ -237,8 +237,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spans (string), n_confirmed (long; spans that decoding adds).
 
     Offsets are in code points and ends are exclusive.  A null or empty text has no
-    span: counts are 0 and spans is empty.  Null and repeated keys give a row each.
-    Other columns aren't read.  No row moves between tasks.
+    span: counts are 0 and spans is empty; a long one is scanned whole.  Spans that
+    start together stand in the order of their kinds.  Null and repeated keys give a row
+    each.  Other columns aren't read, whatever their names; an empty table gives an empty
+    one.  No row moves between tasks.
     """
     ship(docs.sparkSession)
     rows = docs.selectExpr(f"`{key}` AS key", f"CAST(`{text}` AS STRING) AS text")
@@ -256,22 +258,27 @@ def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(batches):
-    for batch in batches:
-        index = batch.schema.get_field_index("text")
-        texts = []
-        for (value,) in arrow_rows(batch, "text"):
-            text = value.as_py()
-            if text:
-                base, more = scan_text(text)
-                text = redact(text, written(base + more)) if base or more else text
-            texts.append(text)
-        yield batch.set_column(index, batch.schema.field(index), pa.array(texts, batch.schema.field(index).type))
+def _redact(column: str):
+    def run(batches):
+        for batch in batches:
+            index = batch.schema.get_field_index(column)
+            texts = []
+            for (value,) in arrow_rows(batch, column):
+                text = value.as_py()
+                if text:
+                    base, more = scan_text(text)
+                    text = redact(text, written(base + more)) if base or more else text
+                texts.append(text)
+            yield batch.set_column(index, batch.schema.field(index), pa.array(texts, batch.schema.field(index).type))
+
+    return run
 
 
 def redact_docs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of its texts replaced by a mark; nulls stay null."""
+    """docs with every span of its texts replaced by a mark.
+
+    Null texts stay null and empty ones empty; long ones are scanned whole, repeated rows
+    each.  Other columns, whatever their names, come along; an empty table stays empty.
+    """
     ship(docs.sparkSession)
-    schema = docs.schema
-    renamed = docs.withColumnsRenamed({text: "text"}) if text != "text" else docs
-    return renamed.mapInArrow(_redact, renamed.schema).toDF(*schema.names)
+    return docs.mapInArrow(_redact(text), docs.schema)
