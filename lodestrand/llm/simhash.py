@@ -23,8 +23,9 @@ from lodestrand.shipping import ship
 BITS, RADIUS, SHINGLE, SEED, FANOUT = 64, 4, 4, 42, 8
 #: Rows that one step of a search may hold.
 FRONTIER = 2_000_000
-#: Rows of the sorted file that are gathered before their whole keys are searched.
-GATHER = 200_000
+#: Rows of the sorted file that are gathered before their whole keys are searched, and
+#: rows of one key from which on they are filed anew, under more blocks.
+GATHER, CROWD = 200_000, 200_000
 #: Pairs that are judged at a time, before those that they joined are left out.
 JUDGED = 1024
 
@@ -70,11 +71,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def block_keys(fp: Column, radius: int) -> Column:
-    """One key for every pair of the radius + 2 blocks of bits."""
+    """One key for every pair of the radius + 2 blocks of bits: a mask, and the bits in it."""
     edges = [i * BITS // (radius + 2) for i in range(radius + 3)]
     masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    return F.array(*[F.struct(F.lit(n).alias("pair"), fp.bitwiseAND(F.lit(signed(a | b))).alias("bits")) for n, (a, b) in enumerate(combinations(masks, 2))])
+    pairs = [F.lit(signed(a | b)).cast("long") for a, b in combinations(masks, 2)]
+    return F.array(*[F.struct(m.alias("mask"), fp.bitwiseAND(m).alias("bits")) for m in pairs])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -205,57 +207,112 @@ def group_links(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np
     return values[order][linked], values[order][labels[linked]]
 
 
-def _links(radius: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _links(radius: int, crowd: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64())])
 
-    def found(pair: np.ndarray, bits: np.ndarray, fp: np.ndarray):
-        change = np.r_[True, (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1])]
-        groups = np.cumsum(change)
-        size = np.bincount(groups)
-        several = size[groups] > 1
-        a, b = group_links(groups[several], fp[several].view(np.uint64), radius)
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+    def found(x: np.ndarray):
+        groups = np.cumsum(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
+        several = np.bincount(groups)[groups] > 1
+        a, b = group_links(groups[several], x[2][several].view(np.uint64), radius)
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], schema=schema)
+
+    def anew(x: np.ndarray):
+        return pa.record_batch([pa.array(x[2]), pa.array(x[2]), pa.array(x[0])], schema=schema)
 
     def run(batches):
-        held: list[np.ndarray] = []
-        rows = 0
+        held, rows, last, passing = [], 0, np.zeros((3, 0), np.int64), None
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "bits", "fp")]))
-            rows += batch.num_rows
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "bits", "fp")])
+            if passing is not None:  # more of the crowded key
+                n = int(np.argmin(np.r_[(x[0] == passing[0]) & (x[1] == passing[1]), False]))
+                if n:
+                    yield anew(x[:, :n])
+                if n == x.shape[1]:
+                    continue
+                x, passing = x[:, n:], None
+            x = np.concatenate([last, x], axis=1)
+            if not x.shape[1]:
+                continue
+            other = np.flatnonzero((x[0] != x[0, -1]) | (x[1] != x[1, -1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on
+            held.append(x[:, :cut])
+            rows, last = rows + cut, x[:, cut:]
+            if last.shape[1] > crowd and can_crowd(int(last[0, 0]), crowd):
+                passing = last[:2, 0]
+                yield anew(last)
+                last = last[:, :0]
             if rows >= GATHER:
-                x = np.concatenate(held, axis=1)
-                same = (x[0] == x[0, -1]) & (x[1] == x[1, -1])
-                cut = len(same) - np.argmin(same[::-1]) if not same.all() else 0  # the last key may go on
-                if cut:
-                    yield found(*x[:, :cut])
-                held, rows = [x[:, cut:]], 0 if cut else rows
-        if held:
-            x = np.concatenate(held, axis=1)
-            if x.shape[1]:
-                yield found(*x)
+                yield found(np.concatenate(held, axis=1))
+                held, rows = [], 0
+        x = np.concatenate([*held, last], axis=1)
+        if x.shape[1]:
+            yield found(x)
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def can_crowd(mask: int, crowd: int) -> bool:
+    """Whether more than `crowd` numbers can agree in the mask's bits."""
+    return 1 << (BITS - (mask & (1 << BITS) - 1).bit_count()) > crowd
+
+
+def refiled(mask: int, fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """Masks that hold `mask` and two of radius + 2 blocks of the other bits, each with the
+    numbers' bits in it: numbers within the radius agree in one mask at least."""
+    whole = mask & (1 << BITS) - 1
+    free = np.array_split([b for b in range(BITS) if not whole >> b & 1], radius + 2)
+    blocks = [sum(1 << int(b) for b in part) for part in free]
+    out = []
+    for a, b in combinations(blocks, 2):
+        more = np.array([whole | a | b], np.uint64).view(np.int64)[0]
+        out.append((int(more), fp & more))
+    return out
+
+
+def _refile(radius: int):
+    def run(batches):
+        for batch in batches:
+            mask, fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "a"))
+            for m in np.unique(mask).tolist():
+                own = fp[mask == m]
+                for more, bits in refiled(m, own, radius):
+                    yield pa.record_batch([pa.array(np.full(len(own), more)), pa.array(bits), pa.array(own)], names=["mask", "bits", "fp"])
+
+    return run
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """a, b (long): links between distinct fingerprints fp that join what chains of
-    pairs within the radius join."""
-    ship(distinct.sparkSession)
-    filed = distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp")
-    filed = filed.repartition(partitions(distinct.sparkSession), "pair", "bits").sortWithinPartitions("pair", "bits")
-    return filed.mapInArrow(_links(radius), "a long, b long").distinct()
+    pairs within the radius join.
+
+    A task holds `crowd` fingerprints of a key at most.  The keys that have more come back
+    and are filed anew under two blocks more, which loses no pair, until none has.
+    """
+    spark = distinct.sparkSession
+    ship(spark)
+    filed = distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("k")).select("k.mask", "k.bits", "fp")
+    out = None
+    while True:
+        filed = filed.repartition(partitions(spark), "mask", "bits").sortWithinPartitions("mask", "bits")
+        found = settled(filed.mapInArrow(_links(radius, crowd), "a long, b long, mask long"), "links")
+        linked, crowded = found.filter("mask IS NULL").select("a", "b"), found.filter("mask IS NOT NULL").select("a", "mask")
+        out = linked if out is None else out.union(linked)
+        if crowded.isEmpty():
+            return out.distinct()
+        filed = crowded.mapInArrow(_refile(radius), "mask long, bits long, fp long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (long): for each end of the edges (a, b), the least node it reaches.
 
     Each round takes the least label among the neighbours and then the label of
-    that label, so a chain of n links takes about log n rounds.  Every round is
-    written to the shared folder.
+    that label, so a chain of n links takes about log n rounds, and labels only fall, so
+    rounds end.  Every round is written to the shared folder.  Joins have one row a node
+    on one side, so Spark splits a hub's rows on the other.
     """
     both = settled(edges.union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("low"))
         up = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -265,7 +322,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = step.select("node", "root")
         if not moved:
             return labels
-    raise RuntimeError(f"components are not found after {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -273,9 +329,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     component_id, the least key that links of at most `radius` bits reach.
 
     Texts are lower-cased in A-Z; shingles are of `size` words.  A null text is an
-    empty one; texts without words have fingerprint zero and link like any other.
-    Repeated rows give a row each.  A null key is never the least; a component of
-    null keys alone has a null id.  Other columns aren't read.
+    empty one; texts without words have fingerprint zero and link like any other; a long
+    text counts whole.  Repeated rows give a row each.  A null key is never the least; a
+    component of null keys alone has a null id.  Other columns aren't read, whatever
+    their names; an empty table gives an empty one.
     """
     prints = settled(fingerprints(docs, key, text, size, seed), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("key").alias("least"))
