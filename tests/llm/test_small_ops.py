@@ -76,9 +76,24 @@ def plain_base(text):
 
 
 def test_secret_query_has_the_plain_spans(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in queries.op1_secrets(spark, SF).collect():
-        assert r.base_sha256 == hashlib.sha256(plain_base(texts[r.doc_id]).encode()).hexdigest()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    counted = collections.Counter()
+    for r in queries.op1_secrets(spark, "/root/testdata/sf0.01").collect():
+        same_secrets(r, texts[r.doc_id])
+        counted.update(s.split(":")[0] for s in r.spans.split(",") if s)
+    assert counted
+
+
+def same_secrets(row, text):
+    base = plain_base(text)
+    assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    kinds = [s.split(":")[0] for s in base.split(",")]
+    assert (row.n_assign, row.n_access, row.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+    spans = row.spans.split(",") if row.spans else []
+    places = [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0])) for s in spans]
+    assert places == sorted(places) and [s for s in spans if s.split(":")[0] in secrets.KINDS[:3]] == [s for s in base.split(",") if s]
+    more = [s for s in spans if s.split(":")[0] not in secrets.KINDS[:3]]
+    assert len(more) == row.n_confirmed and set(more) == {f"{k}:{a}:{b}" for a, b, k in secrets.confirmed(text)}
 
 
 def test_secret_scan_of_odd_rows(spark):
@@ -87,9 +102,11 @@ def test_secret_scan_of_odd_rows(spark):
     got = secrets.scan(df).collect()
     assert len(got) == len(texts)
     for r, t in zip(got, texts):
-        assert r.base_sha256 == hashlib.sha256(plain_base(t or "").encode()).hexdigest()
+        same_secrets(r, t or "")
     assert secrets.scan(df.limit(0)).collect() == []
-    assert [r.text for r in secrets.redact_docs(odd_docs(spark, [None, "", "token=abcdef!"])).collect()] == [None, "", "[SECRET]!"]
+    assert [r.text for r in secrets.redact_docs(odd_docs(spark, [None, "", "token=abcdef!", "token=abcdef!"])).collect()] == [None, "", "[SECRET]!", "[SECRET]!"]
+    both = spark.createDataFrame([("token=abcdef!", "token=ghijkl!", 1)], "text string, body string, key long")
+    assert [tuple(r) for r in secrets.redact_docs(both, "body").collect()] == [("token=abcdef!", "[SECRET]!", 1)]
 
 
 # -- 4: mixing
@@ -114,6 +131,32 @@ def test_mix_of_odd_rows(spark):
     assert mixing.take(df, mixing.mix(df)).count() >= 1
 
 
+def test_mix_of_a_hot_id_and_many_sources(spark):
+    rows = [(None if k % 3 else k, f"{'w ' * (k % 7)}{k}", f"host{k % 40}" if k % 2 else "hot", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    want = sorted(map(tuple, mixing.mix(df, per_range=10_000, row="row").collect()), key=str)
+    few = mixing.mix(df, per_range=15, row="row")
+    got = few.collect()
+    # Of rows without an id, which order is theirs is told by size and text alone.
+    assert sorted(map(tuple, got), key=str) == want and len({r.row for r in got}) == 400
+    sums = collections.Counter()
+    for r in got:
+        sums[r.source] += r.taken
+    assert all(abs(sums[r.source] - r.target) < 1.001 for r in got)
+    back = mixing.take(df, few, "row", ("taken",)).collect()
+    assert {r.row: r.taken for r in back} == {r.row: r.taken for r in got if r.taken}
+    assert all(r.epochs * len(r.text.split()) + r.rest_words == r.taken for r in back)
+
+
+def test_prefix_sums_over_ranges(spark):
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 5, 300).tolist()
+    df = spark.createDataFrame(list(enumerate(values)), "_part long, n long")
+    got = {r._part: r.before for r in mixing.prefix_sums(df, [F.col("n"), F.col("_part").desc()], {"before": "n"}, 20).collect()}
+    order = sorted(range(300), key=lambda i: (values[i], -i))
+    assert got == {i: sum(values[j] for j in order[:k]) for k, i in enumerate(order)}
+
+
 def test_targets_stop_at_the_cap_and_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10, 1), ("b", 1000, 1), ("c", 1000, 1), (None, 0, 1)], "source string, source_size long, n_docs long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -233,6 +276,24 @@ def test_gray_index_joins_what_all_pairs_join():
         assert (mine == theirs).all()
 
 
+def test_crowded_keys_are_filed_anew_and_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    values = np.full(1500, 0x0123456789ABCDEF, np.uint64)  # one family: crowded under every key
+    for _ in range(7):
+        values = values ^ (np.uint64(1) << rng.integers(0, 64, len(values), dtype=np.uint64))
+    values = np.unique(np.r_[values, rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 4
+    want = simhash.merged(np.arange(len(values)), *np.nonzero(near))
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)
+    at = {int(v): i for i, v in enumerate(values.view(np.int64))}
+    for crowd in (5, 100, 10_000):
+        pairs = simhash.links(df, 4, crowd).collect()
+        got = simhash.merged(np.arange(len(values)), np.array([at[r.a] for r in pairs], int), np.array([at[r.b] for r in pairs], int))
+        assert (got == want).all()
+    assert len(set(want.tolist())) > 500
+    assert not simhash.can_crowd(-1, 1) and simhash.can_crowd((1 << 60) - 1, 15) and not simhash.can_crowd((1 << 60) - 1, 16)
+
+
 def test_components_of_long_chains(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7)], "a long, b long")
