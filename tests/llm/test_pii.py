@@ -55,5 +55,99 @@ def test_trees_select_other_kinds_and_leave_look_alikes(spark):
     spans = [r.spans for r in pii.scan(odd_docs(spark, texts)).collect()]
     assert [s.split(":")[0] for s in spans[:4]] == ["number", "number", "address", "account"]
     assert spans[4:] == ["", "", ""]
-    got = {(m, k): (sum(pii.evaluate(tree, pii.plain_features(m, b)) for tree in pii.model()[0][k]) >= pii.model()[1][k]) == bool(y) for k, m, b, y in pii.examples(300, 5)}
-    assert sum(got.values()) > 0.9 * len(got)
+
+
+# Written by hand, none of it by the rules that the trees learn from.  {kind|...} is personal data.
+SENTENCES = """
+Hi, it's Tom. My new cell is {number|917-555-0142}, text me when you land.
+If nobody answers ring the office, {number|(415) 555-0199}, before six.
+Reservations: telephone {number|020 7946 0018}. Closed on Mondays.
+The plumber left his number, {number|07700 900461}, on a sticky note.
+Nous sommes ouverts ; téléphone {number|01 70 18 99 06} pour réserver.
+Appelez Sophie au {number|06 39 98 12 34} si le train a du retard.
+Pour toute question, joindre M. Leroy : {number|02.61.91.44.10}.
+Rufen Sie uns an: Telefon {number|030 23125 104}, werktags bis 18 Uhr.
+Meine Handynummer? Handy {number|0171 3920097}, aber bitte nicht nachts.
+Llame al {number|912 345 671} o pase por la oficina.
+Mi móvil es {number|612 34 56 01}, escríbeme.
+She read her social security number aloud: {number|078-05-1120}.
+Applicant SSN {number|219-09-9999}, born in Ohio.
+Send the deposit to IBAN {account|GB29 NWBK 6016 1331 9268 19} by Friday.
+Überweisung auf Konto {account|DE89370400440532013000}, danke.
+Le compte {account|FR14 2004 1010 0505 0001 3M02 606} est au nom de ma mère.
+Ingrese en la cuenta {account|ES91 2100 0418 4502 0005 1332} la cuota.
+Write to me: {address|rita.k (at) postbox (dot) org}.
+His address is {address|bob [at] widgets [dot] com}, he says.
+mail {address|press at bigpaper dot net} for comments
+Courriel {address|claire(at)librairie.fr} ou par courrier.
+The treaty was signed on 1648-10-24 in Westphalia.
+Born 14.03.1879 in Ulm, he moved often.
+The town had 1 204 318 people in 2011.
+Sales rose from 12.500.000 to 13.750.000 euros.
+See ISBN 0-306-40615-2 or 978-0-306-40615-7 at the library.
+Upgrade to version 10.0.19045.3803 before running it.
+Invoice 2023-004417 was paid late, order 88-1203-55 was not.
+The war of 1914-1918 and the years 1939 - 1945 changed it.
+Pi is 3.14159265 and e is 2.71828182, roughly.
+Commande 4500012345 expédiée le 03-04-2021.
+Bestellung 700123456 vom 2020-01-15, Rechnung 20200115.
+El pedido 30045678 llegó el 05.06.2022.
+Catalogue no 555-0100-22 is out of print, page 1204567 too.
+He stared at the screen. Nothing happened at midnight. Then it did.
+They are good at chess dot com puzzles, or so they claim.
+We met at dawn. Snow fell at once.
+License XK47 PLQM 88TR ZZ03 was revoked in May.
+Part AB12CD34EF56GH78 fits the older pump.
+"""
+
+
+def labelled():
+    texts, spans = [], []
+    for line in SENTENCES.strip().split("\n"):
+        text, own = "", []
+        for piece in re.split(r"(\{\w+\|[^}]*\})", line):
+            if piece.startswith("{"):
+                kind, piece = piece[1:-1].split("|", 1)
+                own.append(f"{kind}:{len(text)}:{len(text) + len(piece)}")
+            text += piece
+        texts.append(text)
+        spans.append(own)
+    return texts, spans
+
+
+def test_recall_and_precision_on_sentences_written_by_hand(spark):
+    texts, want = labelled()
+    rows = sorted(pii.scan(odd_docs(spark, texts)).collect(), key=lambda r: r.doc_id)
+    got = [[s for s in r.spans.split(",") if s.split(":")[0] in pii.GENERATORS] for r in rows]
+    figures = {}
+    for kind in pii.GENERATORS:
+        of = lambda lists: {(i, s) for i, spans in enumerate(lists) for s in spans if s.startswith(kind)}  # noqa: B023, E731
+        right = len(of(got) & of(want))
+        figures[kind] = (right / len(of(want)), right / max(1, len(of(got))), sorted(of(got) ^ of(want)))
+    assert all(recall >= 0.75 and precision >= 0.8 for recall, precision, _ in figures.values()), figures
+    rows = pii.candidates(odd_docs(spark, texts)).collect()
+    proposed = {(r.doc_id, f"{r.kind}:{r.start}:{r.end}") for r in rows}
+    assert {(i, s) for i, spans in enumerate(want) for s in spans} <= proposed  # the generators miss none
+
+
+def test_trees_in_sql_score_as_plain_ones(spark):
+    texts = labelled()[0] + [f"{b}{m}{a}" for _, m, b, a, *_ in pii.examples(200, 77)]
+    rows = pii.candidates(odd_docs(spark, texts)).collect()
+    assert len(rows) > 200
+    trees, thresholds = pii.model()
+    for r in rows:
+        text = texts[r.doc_id]
+        assert r.match == text[r.start : r.end]
+        x = pii.plain_features(r.match, text[: r.start], text[r.end :])
+        assert list(r.features) == x and abs(r.score - pii.scored(trees[r.kind], x)) < 1e-9
+        assert r.selected == (r.score >= thresholds[r.kind])
+
+
+def test_redaction(spark):
+    texts = [None, "", "write a@b.co or call +1 (900) 555-2077 now", "4111 1111 1111 1111", "no data", "é 1.2.3.4é", "SSN 123-45-6789, mail x (at) y (dot) com", "1.2.3.4 " * 500, "same 9.9.9.9", "same 9.9.9.9"]
+    df = odd_docs(spark, texts).withColumnsRenamed({"lang": "_text", "fp": "number"})
+    got = pii.redact_docs(df).collect()
+    assert pii.redact_docs(df).columns == df.columns and [r.number for r in got] == ["y"] * len(texts)
+    want = [None, "", "write [EMAIL] or call [PHONE] now", "[CARD]", "no data", "é [IP]é", "SSN [NUMBER], mail [ADDRESS]", "[IP] " * 500, "same [IP]", "same [IP]"]
+    assert [r.text for r in got] == want
+    assert pii.redact_docs(df.limit(0)).collect() == []
