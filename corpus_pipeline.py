@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, mixing, quality_rules, secrets, similar
-from lodestrand.llm.common import settled, table
+from lodestrand.llm.common import free_name, settled, table
 
 #: Near duplicates in the pipeline: sets of five-word shingles with a similarity of 0.8
 #: or more; the radius is that of the search for candidates.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, similar.RADIUS
+#: What the last stage tells of each document besides its own columns.
+MIXED = ("size", "source_size", "target", "taken")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the trusted ones are those labelled 1."""
+    """Documents that the quality rules keep; the trusted ones are those labelled 1.
+
+    Null, empty and short texts go, as they have too few words; a long text is judged
+    whole, repeated rows and null ids each by their text.  Other columns, whatever their
+    names, come along unread; of an empty table nothing is left, and without labels no
+    ratio is low.
+    """
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
     model = quality_rules.fit(docs, trusted)
     threshold = quality_rules.calibrate(docs, trusted, model)
@@ -31,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the one with the least id, then the least text hash.
 
-    Rows are told apart by their own numbers, so those that share an id count each by
+    Null and empty texts are one group; a long text is compared whole.  Other columns,
+    whatever their names, come along; an empty table stays empty.  Rows are told apart by their own numbers, so those that share an id count each by
     its text.  Rows without an id are deduplicated among themselves: a group keeps one
     with an id and one without.
     """
@@ -42,12 +51,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Null and empty texts hold none and stay, a long text is searched whole, repeated rows
+    and null ids go or stay each by their text.  Other columns come along; an empty table
+    stays empty, and without items all stay.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text.
+
+    A null text stays null and an empty one empty, with their n_chars; a long text is
+    scanned whole, repeated rows and null ids each by their text.  Other columns, whatever
+    their names, come along; an empty table stays empty.
+    """
     marked = secrets.redact_docs(docs)
     if "n_chars" in marked.columns:
         kind = docs.schema["n_chars"].dataType
@@ -56,8 +75,17 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document it takes words of, with their number."""
-    return mixing.mix(docs).filter("taken > 0")
+    """The mix: the documents that it takes words of, with their texts, size, source_size,
+    target, taken, epochs (whole passes) and rest_words (words of the last, cut pass).
+
+    Documents without words are never taken, null and repeated ids count row by row, and
+    of an empty table the mix is empty.  Columns with one of these names are replaced.
+    """
+    (row,) = free_name(docs, "_row")
+    # The stage before is a written table, whose rows are numbered alike at each read.
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    mixed = mixing.mix(rows, row=row)
+    return mixing.take(rows, mixed, row, MIXED).drop(row)
 
 
 STAGES = [
