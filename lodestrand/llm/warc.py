@@ -72,7 +72,9 @@ def chunk_table(pages: DataFrame, key: str, url: str, html: str, chunk_bytes: in
     payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.monotonically_increasing_id().alias("rec"), F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     schema = "rec long, key string, url string, chunk_no int, last boolean, data binary, size_so_far long, digest_so_far string"
-    return settled(chunk_rows(rows, "payload", chunk_bytes).mapInArrow(_with_digests, schema), "chunks")
+    path = shared_path(pages.sparkSession, "chunks")
+    chunk_rows(rows, "payload", chunk_bytes).mapInArrow(_with_digests, schema).write.option("compression", "zstd").parquet(path)
+    return pages.sparkSession.read.schema(schema).parquet(path)
 
 
 def decide(digests: DataFrame, min_revisit: int = MIN_REVISIT, key_type: str = "bigint") -> DataFrame:
