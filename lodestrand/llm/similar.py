@@ -6,6 +6,10 @@ is searched by the Gray-order tree of simhash, at a radius that a pair at the bo
 almost never passes.  Links are candidates alone: the sets that chains of them join
 come together with their texts, where the tree is searched again and a pair joins
 only if its shared shingles reach the bound.
+
+A family of very many sets isn't brought together.  Its members are compared, where they
+are, with one of them; those that reach the bound have joined, and only the others go on,
+with those of the joined that may be like one of them.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: At a similarity of 0.8 a pair has no key in common with a chance of 3e-5
 #: ((1 - 0.8 ** ROWS) ** KEYS), and passes RADIUS with one of about 4e-5.
 KEYS, ROWS, RADIUS = 20, 4, 22
+#: Sets of one key, or of one family, that a task holds.
+CROWD = 50_000
 _draw = np.random.default_rng(SEED)
 ORDERS = _draw.integers(0, 1 << 63, (2, KEYS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,8 +83,9 @@ def _sketches(text: str, names: list[str], size: int, seed: int):
     return run
 
 
-def _candidates(radius: int):
-    def found(key: np.ndarray, fp: np.ndarray, rep: np.ndarray):
+def _candidates(radius: int, crowd: int):
+    def found(x: np.ndarray):
+        key, fp, rep = x
         groups = np.cumsum(np.r_[True, key[1:] != key[:-1]])
         several = np.bincount(groups)[groups] > 1
         order, labels = group_labels(groups[several], fp[several].view(np.uint64), radius)
@@ -86,26 +93,87 @@ def _candidates(radius: int):
         linked = np.flatnonzero(labels != np.arange(len(labels)))
         return pa.record_batch([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
 
+    def star(nodes: np.ndarray, centre: int):
+        return pa.record_batch([pa.array(nodes), pa.array(np.full(len(nodes), centre))], names=["a", "b"])
+
     def run(batches):
-        held, rows = [], 0
+        held, rows, last, centre = [], 0, np.zeros((3, 0), np.int64), None
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp", "rep")]))
-            rows += batch.num_rows
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp", "rep")])
+            if centre is not None:  # more of a crowded key: all its sets are candidates of its first
+                n = int(np.argmin(np.r_[x[0] == centre[0], False]))
+                if n:
+                    yield star(x[2, :n], centre[1])
+                if n == x.shape[1]:
+                    continue
+                x, centre = x[:, n:], None
+            x = np.concatenate([last, x], axis=1)
+            if not x.shape[1]:
+                continue
+            other = np.flatnonzero(x[0] != x[0, -1])
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on
+            held.append(x[:, :cut])
+            rows, last = rows + cut, x[:, cut:]
+            if last.shape[1] > crowd:
+                centre = (int(last[0, 0]), int(last[2, 0]))
+                yield star(last[2, 1:], centre[1])
+                last = last[:, :0]
             if rows >= GATHER:
-                x = np.concatenate(held, axis=1)
-                same = x[0] == x[0, -1]
-                cut = len(same) - np.argmin(same[::-1]) if not same.all() else 0  # the last key may go on
-                if cut:
-                    yield found(*x[:, :cut])
-                held, rows = [x[:, cut:]], 0 if cut else rows
-        if held:
-            x = np.concatenate(held, axis=1)
-            if x.shape[1]:
-                yield found(*x)
+                yield found(np.concatenate(held, axis=1))
+                held, rows = [], 0
+        x = np.concatenate([*held, last], axis=1)
+        if x.shape[1]:
+            yield found(x)
 
     return run
 
 
+def _against(pivots, size: int, seed: int, similarity: float):
+    """Whether each set reaches the similarity with its family's pivot."""
+
+    def run(batches):
+        for batch in batches:
+            same = [similarity_of(shingle_set(text.as_py() or "", size, seed), pivots.value[root.as_py()]) >= similarity for root, text in arrow_rows(batch, "root", "text")]
+            yield pa.record_batch([*batch.columns, pa.array(same, pa.bool_())], names=[*batch.schema.names, "same"])
+
+    return run
+
+
+def _within(prints, radius: int):
+    """The rows within the radius of one of their family's prints."""
+
+    def run(batches):
+        for batch in batches:
+            near = [bool((np.bitwise_count(prints.value[root.as_py()] ^ np.uint64(fp.as_py() & (1 << BITS) - 1)) <= radius).any()) if root.as_py() in prints.value else False for root, fp in arrow_rows(batch, "root", "fp")]
+            yield batch.filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _spread(near: DataFrame, big: DataFrame, size: int, seed: int, similarity: float, radius: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Of families in `big` (root): node and joined of what is like the family's pivot, and
+    the rows that must still be compared with each other.
+
+    No more than one text a family goes to the driver, and families are at most one for
+    every `crowd` sets; the prints of the rows that go on are sent out only if they are few.
+    """
+    spark = near.sparkSession
+    rows = settled(near.join(F.broadcast(big), "root", "left_semi"), "families")
+    pivots = {r["root"]: shingle_set(r["text"] or "", size, seed) for r in rows.filter("row = root").select("root", "text").collect()}
+    told = rows.mapInArrow(_against(spark.sparkContext.broadcast(pivots), size, seed, similarity), T.StructType([*rows.schema, T.StructField("same", T.BooleanType())]))
+    told = settled(told, "compared")
+    same, others = told.filter("same").drop("same"), told.filter("NOT same").drop("same")
+    if others.limit(crowd + 1).count() <= crowd:
+        prints: dict[int, list[int]] = {}
+        for r in others.select("root", "fp").distinct().collect():  # `crowd` at most
+            prints.setdefault(r["root"], []).append(r["fp"])
+        sent = spark.sparkContext.broadcast({k: np.array(v, np.int64).view(np.uint64) for k, v in prints.items()})
+        on = same.mapInArrow(_within(sent, radius), same.schema)
+    else:
+        on = same
+    return same.select(F.col("row").alias("node"), F.col("root").alias("joined")), others.unionByName(on)
+
+
 def verified_labels(prints: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """As group_labels, of one group whose pairs must reach the similarity."""
 
@@ -141,13 +209,15 @@ def _verify(size: int, seed: int, similarity: float, radius: int):
     return run
 
 
-def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seed: int = SEED) -> tuple[DataFrame, DataFrame, str]:
+def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seed: int = SEED, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, str]:
     """docs with a number for each row; _r, _g (that number, and the number of the
     row's group); and the name of the column with the number.
 
     A group is what chains of pairs join whose sets of `size`-word shingles have at
     least this similarity (shared of all).  A text shorter than a shingle is one
-    shingle; null and empty texts are alike and like nothing else.
+    shingle, a long one counts whole; null and empty texts are alike and like nothing
+    else.  Repeated rows are one set.  Other columns, whatever their names, come along
+    unread, and an empty table has no groups.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -160,11 +230,20 @@ def grouped(docs: DataFrame, text: str = "text", size: int = SHINGLE, similarity
     reps = settled(reps, "sets")
     filed = reps.select("fp", "rep", F.posexplode("keys").alias("n", "k")).select(F.xxhash64("n", "k").alias("key"), "fp", "rep")
     filed = filed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    links = filed.mapInArrow(_candidates(radius), "a long, b long").distinct()
+    links = filed.mapInArrow(_candidates(radius, crowd), "a long, b long").distinct()
     roots = components(links)
     near = rows.select(F.col(row).alias("row"), F.col(print_).alias("fp"), F.col(f"`{text}`").cast("string").alias("text")).join(roots, F.col("row") == F.col("node"))
-    near = near.select("root", "row", "fp", "text").repartition(partitions(spark), "root").sortWithinPartitions("root")
+    near = near.select("root", "row", "fp", "text")
+    big = settled(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("root"), "big")
+    pivoted = None
+    if not big.isEmpty():
+        pivoted, more = _spread(near, big, size, seed, similarity, radius, crowd)
+        near = near.join(F.broadcast(big), "root", "left_anti").select("root", "row", "fp", "text").unionByName(more)
+    near = near.repartition(partitions(spark), "root").sortWithinPartitions("root")
     joined = settled(near.mapInArrow(_verify(size, seed, similarity, radius), "node long, joined long"), "verified")
+    if pivoted is not None:
+        ends = joined.unionByName(pivoted).select(F.col("node").alias("a"), F.col("joined").alias("b"))
+        joined = components(ends).select("node", F.col("root").alias("joined"))
     named = reps.select(F.col(whole).alias("_s"), "rep").join(joined, F.col("rep") == F.col("node"), "left").select("_s", F.coalesce("joined", "rep").alias("_g"))
     of_rows = rows.select(F.col(row).alias("_r"), whole).join(named, F.col(whole) == F.col("_s")).select("_r", "_g")
     return rows.drop(*added), of_rows, row

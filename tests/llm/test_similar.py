@@ -91,3 +91,26 @@ def test_rows_of_one_id_and_rows_without_id(spark):
     assert [g for g in got if g[0] != "None"] == [("5", a), ("5", b), ("9", c)]
     alone = [t for i, t in got if i == "None"]
     assert len(alone) == 2 and a in alone
+
+
+def test_crowded_families_have_the_same_groups(spark):
+    rng = random.Random(9)
+    texts = []
+    for family in range(3):  # one centre's copies, chains away from it, and texts just too far
+        words = [f"f{family}w{k}" for k in range(240)]
+        texts += [" ".join(edited(rng, words, 1 + k % 6)) for k in range(25)]
+        chain = words
+        for _ in range(6):
+            chain = edited(rng, chain, 4)
+            texts.append(" ".join(chain))
+    texts = dict(enumerate(texts))
+    want, pairs = plain_kept(texts)
+    assert len(pairs) > 100 and len(want) > 3
+    df = odd_docs(spark, list(texts.values()))
+    for crowd in (1000, 8, 3):
+        rows, groups, row = similar.grouped(df, crowd=crowd)
+        named = rows.join(groups, rows[row] == groups["_r"]).collect()
+        least = {}
+        for r in named:
+            least[r["_g"]] = min(r.doc_id, least.get(r["_g"], r.doc_id))
+        assert set(least.values()) == want, crowd
