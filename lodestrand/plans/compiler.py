@@ -16,6 +16,7 @@ from lodestrand.operators.traverse import both_ways, walk_pairs
 from lodestrand.plans.errors import QuerySemanticError
 from lodestrand.plans.parser import parse
 from lodestrand.plans.tree import Condition, Item, Query
+from lodestrand.sources.filters import usable_patterns
 
 ENTITY = ("id", "name", "entity_type", "chunk_id")
 VIRTUAL = ("snippet", "file", "lines")
@@ -127,6 +128,8 @@ class _Compiler:
                 out = out & self.condition(p) if c.op == "and" else out | self.condition(p)
             return out
         column, value = self.column(c.variable, c.prop, "WHERE"), F.lit(c.value)
+        if c.op == "=~" and not usable_patterns([str(c.value)]):
+            raise QuerySemanticError(f"not a regular expression of linear time: {c.value}")
         return {"=": column == value, "<>": column != value, "<": column < value, ">": column > value, "<=": column <= value, ">=": column >= value, "=~": column.rlike(f"^(?:{c.value})$")}[c.op]
 
     def aggregate(self, item: Item) -> tuple[str, Column]:

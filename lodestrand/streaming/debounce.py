@@ -29,9 +29,16 @@ def sessions(events: DataFrame, key: str = "path", ts: str = "ts", gap: str = "1
 
 
 def batch_sessions(events: DataFrame, key: str = "path", ts: str = "ts", gap_seconds: float = 1.0) -> DataFrame:
-    """As sessions(), of a table and by windows: a burst starts after more than a gap."""
-    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(ts).cast("timestamp").alias(ts))
-    rows = rows.withColumn("_new", F.coalesce((F.col("us") - F.lag("us").over(Window.partitionBy(key).orderBy("us")) > int(gap_seconds * 1e6)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_s", F.sum("_new").over(Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, 0)))
-    found = rows.groupBy(key, "_s").agg(F.min(ts).alias("first_ts"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n"))
-    return found.select(key, "first_ts", F.timestamp_micros(F.col("last") + int(gap_seconds * 1e6)).alias("fire_ts"), "n")
+    """As sessions(), of a table and by windows: a burst starts after more than a gap.
+
+    Events of a key within one slot as long as the gap belong together, so slots are summed
+    up before anything is shuffled: a key weighs as much as it has slots, not events.
+    """
+    gap = int(gap_seconds * 1e6)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    slots = events.groupBy(key, F.floor(us / F.lit(max(1, gap))).alias("_slot")).agg(F.min(us).alias("_a"), F.max(us).alias("_b"), F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(key).orderBy("_slot")
+    rows = slots.withColumn("_new", F.coalesce((F.col("_a") - F.lag("_b").over(by) > gap).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_s", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.groupBy(key, "_s").agg(F.min("_a").alias("first"), F.max("_b").alias("last"), F.sum("n").alias("n"))
+    return found.select(key, F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros(F.col("last") + gap).alias("fire_ts"), "n")

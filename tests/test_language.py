@@ -119,3 +119,9 @@ def test_extended_clauses(golden):
     assert run("MATCH (n:TYPE) RETURN n.name AS x ORDER BY x DESC") == [("D",), ("C",)]
     assert run("MATCH (a)-[*1..2]->(b:TYPE) RETURN b.name, COUNT(a) AS n GROUP BY b.name ORDER BY b_name") == [("C", 3), ("D", 3)]
     assert run("MATCH (a)-[:uses]-(b) WHERE a.name = \"D\" RETURN b.name") == [("C",)]
+
+
+@pytest.mark.parametrize("pattern", ["(", "a**b", "(?=x)y", "(a)\\\\1"])
+def test_patterns_that_are_none_are_errors_of_the_query(golden, pattern):
+    with pytest.raises(QuerySemanticError):
+        run_query(golden, f'MATCH (a)-[]->(b) WHERE a.name =~ "{pattern}" RETURN b.name', extended=True)
