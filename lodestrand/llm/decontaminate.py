@@ -2,8 +2,8 @@
 
 A document's windows of an item's length get SimHash fingerprints.  A multi-index
 over blocks of bits finds every item within the radius: of BLOCKS blocks at least one
-differs in at most radius // BLOCKS bits, and items are filed under all such values of
-each block.  What it finds counts only if the weighted similarity of the shingles
+differs in at most radius // BLOCKS bits.  Items are filed under all values of each block
+with half as many bits changed, and looked up under all with the other half changed.  What it finds counts only if the weighted similarity of the shingles
 themselves, min over max of their counts, reaches the bound.
 
 Only windows that share a shingle with some item are looked at: the others have
@@ -29,7 +29,9 @@ from lodestrand.shipping import ship
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS, BLOCK_BITS = 4, 16
 #: A block of the benchmark has about this many words and items at most.
-BLOCK_WORDS, BLOCK_ITEMS = 500_000, 4_000
+BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
+#: Fingerprints that are looked up at once.
+LOOKUP = 4_096
 
 
 def word_units(text: str) -> np.ndarray:
@@ -59,6 +61,11 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return shared / total if total else 0.0
 
 
+def _changes(flips: int) -> np.ndarray:
+    """Every set of at most so many bits of a block."""
+    return np.array([sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(BLOCK_BITS), n)], np.int64)
+
+
 class BenchmarkIndex:
     """Items by length, their fingerprints by blocks of bits, and their shingles."""
 
@@ -76,10 +83,8 @@ class BenchmarkIndex:
             for s in own:
                 self.lengths.setdefault(s, set()).add(n)
         self.prints = np.array([packed(votes(s)[-1:])[0] for s in found], np.uint64)
-        near = [0]
-        for flips in range(1, radius // BLOCKS + 1):
-            near += [sum(1 << b for b in bits) for bits in combinations(range(BLOCK_BITS), flips)]
-        near = np.array(near, np.int64)
+        own = radius // BLOCKS // 2
+        near, self.changes = _changes(own), _changes(radius // BLOCKS - own)
         self.files = []
         for block in range(BLOCKS):
             value = (self.prints >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & 0xFFFF
@@ -89,14 +94,19 @@ class BenchmarkIndex:
 
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (print, item) within the radius."""
-        pairs = []
-        for block, (at, filed) in enumerate(self.files):
-            value = (prints >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & 0xFFFF
-            lo, n = at[value], at[value + 1] - at[value]
-            who = np.repeat(np.arange(len(prints)), n)
-            item = filed[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())].astype(np.int64)
-            near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
-            pairs.append(who[near] * len(self.keys) + item[near])
+        pairs = [np.zeros(0, np.int64)]
+        for first in range(0, len(prints), LOOKUP):
+            some = prints[first : first + LOOKUP]
+            for block, (at, filed) in enumerate(self.files):
+                value = (some >> np.uint64(block * BLOCK_BITS)).astype(np.int64) & 0xFFFF
+                value = (value[:, None] ^ self.changes[None]).reshape(-1)
+                lo, n = at[value], at[value + 1] - at[value]
+                hit = np.flatnonzero(n)
+                lo, n, who = lo[hit], n[hit], hit // len(self.changes)
+                who = np.repeat(who, n)
+                item = filed[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())].astype(np.int64) if len(hit) else np.zeros(0, np.int64)
+                near = np.bitwise_count(some[who] ^ self.prints[item]) <= self.radius
+                pairs.append((first + who[near]) * len(self.keys) + item[near])
         both = np.unique(np.concatenate(pairs))
         return both // max(1, len(self.keys)), both % max(1, len(self.keys))
 
@@ -164,9 +174,11 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """One row for each document and item that it holds: their keys, similarity, and
     where the best window is (first_word, words).
 
-    Letters' case doesn't count.  A document shorter than an item is one window.  Null
-    and empty texts hold nothing, and items without words are nowhere; null and
-    repeated keys are carried along.  Other columns aren't read.
+    Letters' case doesn't count.  A document shorter than an item is one window; a long
+    one is searched whole.  Null and empty texts hold nothing, and items without words are
+    nowhere; null and repeated keys are carried along, and of equally good windows the
+    first is told.  Other columns aren't read, whatever their names; where either table
+    is empty nothing is found.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -193,7 +205,11 @@ def _clean(index, similarity: float, text: str):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs without the documents that hold an item; all columns stay, and no row moves."""
+    """docs without the documents that hold an item; all columns stay, and no row moves.
+
+    Texts and items count as in find(): null and empty texts stay, repeated rows go or
+    stay together, and without items all stay.
+    """
     spark = docs.sparkSession
     ship(spark)
     for block in blocks(benchmark, item, item_text):

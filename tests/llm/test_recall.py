@@ -23,3 +23,13 @@ def test_windows_of_the_similarity_are_found():
                 far += int(np.bitwise_count(d.packed(d.votes(one)[-1:]) ^ d.packed(d.votes(two)[-1:]))[0]) > 15
                 assert [m[0] for m in index.matches("x y " + " ".join(words) + " z", d.SIMILARITY)] == [k]
     assert pairs > 100 and far
+
+
+def test_windows_at_exactly_the_similarity_are_found():
+    words = [f"w{k}" for k in range(49)]  # 45 shingles; changing the fifth word leaves 40 of 50
+    index = d.BenchmarkIndex([(0, " ".join(words))])
+    words[4] = "other"
+    (found,) = index.matches("a " + " ".join(words) + " b", d.SIMILARITY)
+    assert found[0] == 0 and found[1] == 0.8 and found[2:] == (1, 49)
+    words[9] = "another"
+    assert index.matches("a " + " ".join(words) + " b", d.SIMILARITY) == []
