@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, mixing, quality_rules, secrets, similar
-from lodestrand.llm.common import free_name, settled, table
+from lodestrand.llm.common import free_name, table
+from lodestrand.storage import cleared, remove, settled_at
 
 #: Near duplicates in the pipeline: sets of five-word shingles with a similarity of 0.8
 #: or more; the radius is that of the search for candidates.
@@ -101,8 +102,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.  What a stage has written goes once the next has run."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with cleared(spark) as keep:
+            docs, path = settled_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.add(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs

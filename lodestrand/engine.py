@@ -9,7 +9,7 @@ from lodestrand.operators import lookups, registry, vectors
 from lodestrand.plans.compiler import run_query
 from lodestrand.render import markdown_report, status_report
 from lodestrand.sources import chunker, extract, files
-from lodestrand.storage import settled
+from lodestrand.storage import cleared, settled
 from lodestrand.store import GraphStore
 from lodestrand.streaming import workqueue
 
@@ -34,8 +34,11 @@ class Engine:
         replaced, with new ids; files that are gone stay, as nothing says that they were
         removed for good.  Files that can't be read are left out: see unreadable().
         """
+        with cleared(self.spark):
+            return self._index(files.walk(self.spark, folder, blacklist, whitelist))
+
+    def _index(self, found: DataFrame) -> int:
         store, now = self.store, F.current_timestamp()
-        found = files.walk(self.spark, folder, blacklist, whitelist)
         # A run that was cut short left files that aren't indexed: those are taken again.
         left = store.files.filter("status <> 'indexed'").select("path", F.lit(True).alias("_left"))
         changed = registry.changed_files(store.files, found).join(left, "path", "left").filter("changed OR _left")
@@ -59,10 +62,11 @@ class Engine:
     def queue(self, path: str, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> dict[str, int]:
         """Puts the files under a folder, or one file, into the queue: how many were queued,
         how many the patterns left out, and how many can't be read."""
-        found = settled(files.walk(self.spark, path, blacklist, whitelist).select("path", "last_mod_time", "content_hash"), "found")
-        errors = files.unreadable(self.spark, path, blacklist, whitelist).count()
-        queued, there = found.count(), files.listing(self.spark, path).count()
-        workqueue.enqueue(self.store, found.withColumn("seq", F.lit(0)))
+        with cleared(self.spark):
+            found = settled(files.walk(self.spark, path, blacklist, whitelist).select("path", "last_mod_time", "content_hash"), "found")
+            errors = files.unreadable(self.spark, path, blacklist, whitelist).count()
+            queued, there = found.count(), files.listing(self.spark, path).count()
+            workqueue.enqueue(self.store, found.withColumn("seq", F.lit(0)))
         return {"queued": queued, "skipped": there - queued - errors, "errors": errors}
 
     def index_batch(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,14 +81,16 @@ class Engine:
 
     def index_once(self, limit: int = workqueue.INDEX_BATCH) -> int:
         """Indexes the files that wait longest; how many it took."""
-        return workqueue.index_once(self.store, self.index_batch, limit)
+        with cleared(self.spark):
+            return workqueue.index_once(self.store, self.index_batch, limit)
 
     def extract_graph(self, limit: int | None = None) -> int:
         """Entities and edges of all chunks that have none yet (the first `limit`); of how
         many chunks it got them.  Chunks whose prompt fails stay for the next time."""
         if self.extractor is None:
             raise ValueError("the engine has no extractor")
-        return workqueue.extract_once(self.store, lambda chunks: extract.extract(chunks, self.extractor), limit)
+        with cleared(self.spark):
+            return workqueue.extract_once(self.store, lambda chunks: extract.extract(chunks, self.extractor), limit)
 
     def search(self, text: str, k: int = vectors.TOP, under: str | None = None, prefilter: bool = False) -> DataFrame:
         """The chunks nearest to a text."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     package = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="lodestrand-"), "lodestrand.zip")
+    folder = tempfile.mkdtemp(prefix="lodestrand-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it until then
+    archive = os.path.join(folder, "lodestrand.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import registry
 from lodestrand.sources import files
 from lodestrand.sources.filters import daemon_filter
-from lodestrand.storage import settled
+from lodestrand.storage import cleared, settled
 from lodestrand.streaming import workqueue
 
 #: Seconds without a change, and seconds that clocks and stamps may differ by.
@@ -83,7 +83,10 @@ class Daemon:
 
     def changes(self) -> int:
         """Puts what has changed into the queue; how many files."""
-        found = self.watcher.poll()
+        with cleared(self.engine.spark):
+            return self._queue(self.watcher.poll())
+
+    def _queue(self, found: DataFrame | None) -> int:
         if found is None:
             return 0
         wanted = found.filter(daemon_filter(F.col("path"), self.include, self.exclude, self.blacklist, self.whitelist))
