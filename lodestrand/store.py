@@ -106,8 +106,10 @@ class GraphStore:
         return done[whole:]
 
     def _next(self, name: str) -> int:
-        versions = self._versions(name)
-        return versions[-1][0] + 1 if versions else 1
+        """A number after all that are there, those that failed writers left included."""
+        fs, folder = self._fs(), self._hadoop(name)
+        found = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(d[1:]) for d in found if d[:1] in ("v", "d") and d[1:].isdigit()), default=0) + 1
 
     def write(self, name: str, rows: DataFrame) -> None:
         """A new whole version of a table; rows may come from the version before."""
@@ -158,7 +160,7 @@ class GraphStore:
             last = self._next(name) - keep
             for status in self._fs().listStatus(self._hadoop(name)):
                 found = status.getPath().getName()
-                if found[:1] in ("v", "d") and int(found[1:]) < last:
+                if found[:1] in ("v", "d") and found[1:].isdigit() and int(found[1:]) < last:
                     self._fs().delete(status.getPath(), True)
 
     def greatest(self, name: str) -> int:

@@ -276,6 +276,9 @@ def test_changes_cost_their_own_size(spark, tmp_path, monkeypatch):
     assert there() == {1: "a", 2: "BB", 4: "d"}
     names = sorted(p.name for p in (tmp_path / "s" / "entities").iterdir())
     assert names == ["d3", "d4", "d99", "v1", "v2"]
+    (tmp_path / "s" / "files" / "v2").mkdir()  # and one that failed to write a whole version
+    store.write("files", store.files)
+    assert store.files.count() == 0 and store._versions("files") == [(3, "v")]
     monkeypatch.setattr(GraphStore, "MERGES", 2)
     store.merge("entities", rows((1, "A")))
     assert [kind for _, kind in store._versions("entities")] == ["v"] and there() == {1: "A", 2: "BB", 4: "d"}
