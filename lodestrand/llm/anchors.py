@@ -35,6 +35,7 @@ PIECE, PLACE_BITS = 1 << 18, 20
 CROWD = 1 << 16
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _NAME = np.uint64(0x8EBC6AF09C88C6E3)
+_FIRST = np.zeros(1, np.int64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,7 +85,23 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... count[0] numbers, then those of first[1], ..."""
-    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(first) else np.zeros(0, np.int64)
+    if not len(first):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1])
+
+
+def heads(changes: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins, from where a value differs from the one before."""
+    return np.concatenate((_FIRST, np.flatnonzero(changes) + 1))
+
+
+def lengths(begin: np.ndarray, n: int) -> np.ndarray:
+    """The lengths of runs that begin there, the last of which ends at n."""
+    out = np.empty(len(begin), np.int64)
+    np.subtract(begin[1:], begin[:-1], out=out[:-1])
+    out[-1:] = n - begin[-1:]
+    return out
 
 
 class Runs:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestrand.llm import anchors as an
-from lodestrand.llm.anchors import spans
+from lodestrand.llm.anchors import heads, lengths, spans
 from lodestrand.llm.common import NULL_ID
 
 WINDOW, GRAM = 50, 20
 #: Distinct contexts that one suffix array holds, and how often a crowded anchor's
 #: contexts are cut by further anchors before they are cut into windows.
-CONTEXTS, LEVELS = 32, 2
+CONTEXTS, LEVELS = 16, 2
 #: Symbols that are sorted at once.
 SORT_AT_ONCE = 1 << 19
 _UNITS = an.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -52,11 +52,11 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     head = np.r_[True, (symbols[order][1:] != symbols[order][:-1]) | (owner[order][1:] != owner[order][:-1])] if n else np.zeros(0, bool)
-    heads = np.flatnonzero(head)
+    begins = np.flatnonzero(head)
     group = np.empty(n, np.int64)  # where each suffix's group begins in the order
-    group[order] = np.repeat(heads, np.diff(np.r_[heads, n]))
+    group[order] = np.repeat(begins, lengths(begins, n))
     group_end = np.zeros(n, np.int64)
-    group_end[heads] = np.r_[heads[1:], n]
+    group_end[begins] = np.r_[begins[1:], n]
     smaller = np.arange(-1, n - 1)  # the previous smaller suffix, as far as it is known
     smaller[begin] = -1
     vacated, wanted = np.zeros(n, bool), np.zeros(n, bool)
@@ -74,12 +74,12 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             smaller[members[todo]] = pointer[todo]
         hit = np.sort(pointer[pointer >= 0])
         if len(hit):
-            at = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]])
-            moved, times = hit[at], np.diff(np.r_[at, len(hit)])
+            at = heads(hit[1:] != hit[:-1])
+            moved, times = hit[at], lengths(at, len(hit))
             by = np.lexsort((times, group[moved]))
             moved, times, old = moved[by], times[by], group[moved][by]
-            at = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
-            size = np.diff(np.r_[at, len(old)])
+            at = heads(old[1:] != old[:-1])
+            size = lengths(at, len(old))
             target, source = spans(group_end[old[at]] - size, size), place[moved]
             vacated[source], wanted[target] = True, True
             stay, gap = order[target[~vacated[target]]], np.sort(source[~wanted[source]])
@@ -87,8 +87,8 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             order[gap], place[stay] = stay, gap
             order[target], place[moved] = moved, target
             group_end[old[at]] -= size
-            at = np.flatnonzero(np.r_[True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])])
-            size = np.diff(np.r_[at, len(old)])
+            at = heads((old[1:] != old[:-1]) | (times[1:] != times[:-1]))
+            size = lengths(at, len(old))
             group[moved] = np.repeat(target[at], size)
             group_end[target[at]] = target[at] + size
         going = start > low
@@ -202,14 +202,14 @@ def class_least(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least: n
     count = size - window + 1
     total = np.r_[0, np.cumsum(count)]
     out = np.repeat(least, count)
-    heads = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
-    members = np.diff(np.r_[heads, len(text_of)])
-    length = np.add.reduceat(size + 1, heads)
+    firsts = heads(text_of[1:] != text_of[:-1])
+    members = lengths(firsts, len(text_of))
+    length = np.add.reduceat(size + 1, firsts)
     by_length = np.argsort(length, kind="stable")  # texts that are sorted at once are about as long
     batch = np.cumsum(length[by_length]) // SORT_AT_ONCE
     for k in np.unique(batch):
         chosen = by_length[batch == k]
-        context = spans(heads[chosen], members[chosen])
+        context = spans(firsts[chosen], members[chosen])
         n = size[context] + 1  # a symbol less than any byte ends each context
         at = np.r_[0, np.cumsum(n)]
         symbols = np.ones(at[-1], np.int16)
@@ -242,9 +242,8 @@ def window_least(texts: np.ndarray, begin: np.ndarray, size: np.ndarray, least:
     count = size - window + 1
     at = np.r_[0, np.cumsum(count)]
     out = np.repeat(least, count)  # what an anchor with one context needs
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    contexts = np.diff(np.r_[heads, len(h)])
-    of_anchor, contexts = np.repeat(np.arange(len(heads)), contexts), np.repeat(contexts, contexts)
+    contexts = lengths(heads(h[1:] != h[:-1]), len(h))
+    of_anchor, contexts = np.repeat(np.arange(len(contexts)), contexts), np.repeat(contexts, contexts)
     few, many = np.flatnonzero((contexts > 1) & (contexts <= CONTEXTS)), np.flatnonzero(contexts > CONTEXTS)
     if len(few):
         out[spans(at[few], count[few])] = class_least(texts, begin[few], size[few], least[few], of_anchor[few], window)
