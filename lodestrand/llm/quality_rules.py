@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,10 @@ def assess(docs: DataFrame, model: list[float], text: str = "text", threshold: f
     kept_columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     t, w, lines, h1, h2, h4, windows, starts = free_name(docs, "_t", "_w", "_lines", "_h1", "_h2", "_h4", "_windows", "_starts")
     buckets = len(model)
-    # A literal once the optimiser has folded it; so few numbers need no join.
-    weights = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
+    # A subquery, which the optimiser puts where it is read: a literal would be written out in
+    # every plan and its descriptions, which the driver keeps, and a join would copy it to each row.
+    table = pa.table({"w": pa.array([model], pa.list_(pa.float64()))})
+    weights = docs.sparkSession.createDataFrame(table).scalar()
 
     out = docs.select(*kept_columns, whole_text(text).alias(t))
     out = out.select("*", words_of(F.col(t)).alias(w), F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines))
@@ -136,18 +139,22 @@ def assess(docs: DataFrame, model: list[float], text: str = "text", threshold: f
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    summed = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.element_at(weights, _bucket(g, buckets) + 1))
-    ratio, grams = F.lit(0.0), F.lit(0)
-    for order in orders:
-        ratio, grams = ratio + summed(gram_hashes(h1, h2, order)), grams + F.greatest(F.lit(0), n - (order - 1))
+    model_, grams, repeated = free_name(out, "_model", "_grams", "_repeated")
+    passed = out.columns
+    found = [gram_hashes(h1, h2, order) for order in orders]
+    out = out.select("*", F.concat(*found).alias(grams), F.coalesce(covered, F.lit(0)).cast("long").alias(repeated), weights.alias(model_))
+    # Below, all that is new above is read once, so the optimiser merges the two steps; else
+    # the model would be a column, with a copy in each row.
+    ratio = F.aggregate(F.col(grams), F.lit(0.0), lambda a, g: a + F.element_at(F.col(model_), _bucket(g, buckets) + 1))
+    n_grams = sum((F.greatest(F.lit(0), n - (order - 1)) for order in orders), F.lit(0))
     out = out.select(
-        "*",
+        *[F.col(f"`{c}`") for c in passed],
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when(n > 0, ratio / F.greatest(F.lit(1), grams)).otherwise(0.0).alias("llr"),
+        F.col(repeated).alias("n_repeat_words"),
+        F.when(n > 0, ratio / F.greatest(F.lit(1), n_grams)).otherwise(0.0).alias("llr"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.select("*", failed.alias("base_failed"))

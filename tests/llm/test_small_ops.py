@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import re
 
 import numpy as np
@@ -358,3 +359,16 @@ def test_quality_rules_of_odd_rows(spark):
     known = quality_rules.fit(spark.createDataFrame([(1, "p q r s t"), (2, "t s r q p")], "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long"))
     right, wrong = (r.llr for r in quality_rules.assess(shuffled, known).collect())
     assert right > wrong  # word order counts
+
+
+def test_quality_plans_do_not_spell_out_the_model(spark):
+    docs = odd_docs(spark, ["a b c"], [1])
+    model = [math.log(k + 1) for k in range(1 << 16)]
+    for orders in ((1,), (1, 2)):
+        for columns in (["llr"], ["*"]):
+            plan = quality_rules.assess(docs, model, orders=orders).select(*columns)._jdf.queryExecution().toString()
+            optimized = plan[plan.index("== Optimized") :]
+            assert len(plan) < 100_000 and "_model" not in optimized  # neither a literal nor a column of the rows
+    got = quality_rules.assess(docs, model, orders=(1,)).collect()[0].llr
+    hashed = [r.h for r in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    assert got == pytest.approx(np.mean([model[h % (1 << 16)] for h in hashed]))
