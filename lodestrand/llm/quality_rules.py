@@ -2,8 +2,7 @@
 
 Every document gets counts of simple faults, and the mean, over its hashed
 n-grams (single words and pairs), of log(p_target / p_raw).  Both multinomials are over hashed n-grams:
-p_raw counts every n-gram of every document, p_target those of a bounded sample of
-trusted documents.  Only DataFrame functions run; the model is ``buckets`` numbers.
+p_raw counts every n-gram of every document, p_target those of every trusted one.  Only DataFrame functions run; the model is ``buckets`` numbers.
 """
 
 from __future__ import annotations
@@ -14,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import free_name, whole_text, words_of
+from lodestrand.llm.common import free_name, settled, whole_text, words_of
 
 BUCKETS = 1 << 16
-#: The bound on trusted documents that the target counts come from.
-TRUSTED = 5_000
+#: Trusted ids that are sent to every task at most; of more, rows and ids are dealt out.
+SENT = 1_000_000
 SMOOTHING = 0.5
 #: The threshold is this quantile of the trusted documents' ratios, times SLACK.
 QUANTILE, SLACK = 0.002, 2.0
@@ -52,31 +51,48 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(value, F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids of at most ``limit`` rows of quality 1, picked by a hash of the id."""
-    return _bounded(labels.filter(F.col("quality") == 1), "doc_id", limit).withColumnRenamed("_id", "doc_id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all rows of quality 1."""
+    return labels.filter(F.col("quality") == 1).select("doc_id")
 
 
-def _bounded(trusted: DataFrame, key: str, limit: int = TRUSTED) -> DataFrame:
-    """At most ``limit`` known ids, so that they can be broadcast."""
-    ids = trusted.select(F.col(f"`{key}`").alias("_id")).filter(F.col("_id").isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+def _marked(rows: DataFrame, trusted: DataFrame, key: str, how: str, sent: int = SENT) -> DataFrame:
+    """rows (with _id) joined to the known ids, each once; up to `sent` of them go to all
+    tasks, of more Spark deals out ids and rows."""
+    ids = trusted.select(F.col(f"`{key}`").alias("_id"), F.lit(1).alias("_trusted")).filter(F.col("_id").isNotNull()).distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= sent else ids, "_id", how)
+
+
+def _quantile(values: DataFrame, column: str, quantile: float, accuracy: int = 10_000) -> float | None:
+    """The exact quantile, interpolated; None of no values.
+
+    A sketch names a value just past it, so that only those below, a part of
+    `quantile` and a little more, go to the driver.
+    """
+    n = values.count()
+    if not n:
+        return None
+    place = quantile * (n - 1)
+    past = values.agg(F.percentile_approx(column, F.lit(min(1.0, (place + 2) / n + 2 / accuracy)), accuracy).alias("p")).collect()[0]["p"]
+    below = sorted(r[column] for r in values.filter(F.col(column) < past).select(column).collect())
+    low, high = ((below[k] if k < len(below) else past) for k in (math.floor(place), math.ceil(place)))
+    return low + (high - low) * (place - math.floor(place))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, smoothing: float = SMOOTHING, orders: tuple[int, ...] = ORDERS) -> list[float]:
     """log(p_target / p_raw) for each bucket; all zero where nothing is trusted.
 
-    ``trusted`` has the column ``key``; TRUSTED of its ids count at most, picked by a
-    hash.  A null or empty text has no n-grams, a long one counts whole; repeated rows
-    count each, null ids aren't trusted, and other columns aren't read.  An empty table
-    gives the model that nothing is known of.
+    ``trusted`` has the column ``key``, and all its ids count, repeated ones once.  A null
+    or empty text has no n-grams, a long one counts whole; repeated rows count each, null
+    ids aren't trusted, and other columns aren't read.  An empty table gives the model
+    that nothing is known of.
     """
-    ids = _bounded(trusted, key).select(F.col("_id"), F.lit(1).alias("_trusted"))
-    rows = docs.select(F.col(f"`{key}`").alias("_id"), word_hashes(words_of(whole_text(text))).alias("_hashes"))
-    rows = rows.select("_id", "_hashes", _after("_hashes", 1, F.xxhash64).alias("_pairs")) if 2 in orders else rows.select("_id", "_hashes", F.lit(None).alias("_pairs"))
+    rows = _marked(docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")), trusted, key, "left")
+    rows = rows.select("_trusted", word_hashes(words_of(whole_text("_text"))).alias("_hashes"))
+    rows = rows.select("*", (_after("_hashes", 1, F.xxhash64) if 2 in orders else F.lit(None)).alias("_pairs"))
     grams = [gram_hashes("_hashes", "_pairs", n) for n in orders]
     grams = F.concat(*grams) if len(grams) > 1 else grams[0]
-    rows = rows.join(F.broadcast(ids), "_id", "left").select("_trusted", F.explode(grams).alias("_gram"))
+    rows = rows.select("_trusted", F.explode(grams).alias("_gram"))
     found = rows.select("_trusted", _bucket(F.col("_gram"), buckets).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()  # at most `buckets` rows
     raw, target = [0] * buckets, [0] * buckets
     for row in found:
@@ -88,14 +104,12 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
 
 
 def calibrate(docs: DataFrame, trusted: DataFrame, model: list[float], text: str = "text", key: str = "doc_id", orders: tuple[int, ...] = ORDERS) -> float:
-    """The threshold that the trusted documents give: what nearly all of them pass,
+    """The threshold that all trusted documents give: what nearly all of them pass,
     with slack.  0 where there are none: then every ratio is 0 and passes.  Ids and texts
     count as in fit()."""
-    ids = _bounded(trusted, key)
-    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(ids), "_id")
-    scored = assess(rows, model, "_text", orders=orders)
-    found = scored.agg(F.percentile("llr", F.lit(QUANTILE)).alias("q")).collect()[0]["q"]
-    return SLACK * min(0.0, found or 0.0)
+    rows = _marked(docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")), trusted, key, "left_semi")
+    ratios = settled(assess(rows, model, "_text", orders=orders).select("llr"), "ratios")
+    return SLACK * min(0.0, _quantile(ratios, "llr", QUANTILE) or 0.0)
 
 
 def assess(docs: DataFrame, model: list[float], text: str = "text", threshold: float = 0.0, orders: tuple[int, ...] = ORDERS) -> DataFrame:

@@ -372,3 +372,27 @@ def test_quality_plans_do_not_spell_out_the_model(spark):
     got = quality_rules.assess(docs, model, orders=(1,)).collect()[0].llr
     hashed = [r.h for r in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select(F.xxhash64("w").alias("h")).collect()]
     assert got == pytest.approx(np.mean([model[h % (1 << 16)] for h in hashed]))
+
+
+def test_every_trusted_row_counts(spark):
+    n = 5_500  # the model came from 5,000 of them before
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    trusted = quality_rules.trusted_ids(docs.select("doc_id", F.lit(1).alias("quality")))
+    assert set(quality_rules.fit(docs, trusted, orders=(1,))) == {0.0}
+    dealt, sent = (quality_rules._marked(docs.withColumnRenamed("doc_id", "_id"), trusted.union(trusted), "doc_id", "left", k) for k in (10, n))
+    assert dealt.count() == sent.count() == dealt.filter("_trusted = 1").count() == n
+    # Ratios fall from document to document, so the threshold must see the last ones.
+    lines = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.array_join(F.array_repeat(F.lit("b"), F.col("id").cast("int") % 100), " ")).alias("text"))
+    hashed = [r.h % (1 << 16) for r in spark.createDataFrame([("a",), ("b",)], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    model = [0.0] * (1 << 16)
+    model[hashed[0]], model[hashed[1]] = 0.0, -1.0
+    ratios = [-(i % 100) / (i % 100 + 1) for i in range(n)]
+    assert quality_rules.calibrate(lines, trusted, model, orders=(1,)) == pytest.approx(2 * np.quantile(ratios, 0.002))
+
+
+def test_quantiles_are_exact(spark):
+    for values in ([3.0], [1.0, 2.0], [0.0] * 50, [k % 7919 / 7 for k in range(20_000)], [-1.0] * 7 + [0.0] * 12_000):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for q in (0.0, 0.002, 0.5, 1.0):
+            assert quality_rules._quantile(df, "v", q) == pytest.approx(np.quantile(values, q))
+    assert quality_rules._quantile(df.limit(0), "v", 0.5) is None
