@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from lodestrand.llm import secrets
 from tests.llm.test_similar import plain_kept
@@ -64,3 +66,11 @@ def test_stages_leave_columns_of_any_name_alone(spark):
         assert got and all(tuple(got[i]) == rows[i] for i in got), name
     mixed = cp.mix(spark, df, SF).collect()
     assert all(r._row == f"_row{r.doc_id}" and r._part == f"_part{r.doc_id}" and r.taken > 0 for r in mixed)
+
+
+def test_quality_stage_trusts_every_row_that_is_labelled_good(spark, tmp_path):
+    n = 5_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.concat_ws("x", "id", k)), " ").alias("text"))
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    # All are trusted, so no ratio is low; of a model from 5,000 rows the words of the rest are unlikely.
+    assert cp.quality(spark, docs, str(tmp_path)).count() == n
