@@ -302,26 +302,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Data
         filed = crowded.mapInArrow(_refile(radius), "mask long, bits long, fp long")
 
 
+def _topmost(parents: DataFrame) -> DataFrame:
+    """node, root (long): of nodes and their parents (root, a lesser node each), the last
+    of those above a node.  Each pass doubles the steps that a node has gone."""
+    while True:
+        up = parents.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        step = parents.join(up, F.col("root") == F.col("_n"), "left")
+        step = settled(step.select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "above")
+        parents = step.select("node", "root")
+        if step.filter("moved").isEmpty():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (long): for each end of the edges (a, b), the least node it reaches.
 
-    Each round takes the least label among the neighbours and then the label of
-    that label, so a chain of n links takes about log n rounds, and labels only fall, so
-    rounds end.  Every round is written to the shared folder.  Joins have one row a node
-    on one side, so Spark splits a hub's rows on the other.
+    Each round hangs every node that has a lesser neighbour under the least of them, puts
+    the top of each tree that comes of it in place of all its nodes and drops the edges
+    that are within one tree or there twice.  So edges are joined again only while they
+    lead from tree to tree, and not in each round: of a dense group hardly any is left after
+    the first.  Two rounds at least halve the nodes that have an edge.  Every round
+    is written to the shared folder.  Joins have one row a node on one side, so Spark
+    splits a hub's rows on the other.
     """
-    both = settled(edges.union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("low"))
-        up = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        step = step.join(up, F.col("low") == F.col("_n"), "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("_r", "low")).alias("root"))
-        step = settled(step, "labels")
-        moved = step.filter("old <> root").limit(1).count()
-        labels = step.select("node", "root")
-        if not moved:
-            return labels
+    between = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels = between.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    while not between.isEmpty():
+        tops = _topmost(between.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        low, high = tops.select(F.col("node").alias("_n"), F.col("root").alias("_r")), tops.select(F.col("node").alias("_m"), F.col("root").alias("_s"))
+        labels = settled(labels.join(low, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "labels")
+        moved = between.join(low, F.col("a") == F.col("_n")).filter("_r <> b")
+        moved = moved.join(high, F.col("b") == F.col("_m"), "left").select("_r", F.coalesce("_s", "b").alias("_s")).filter("_r <> _s")
+        between = settled(moved.select(F.greatest("_r", "_s").alias("a"), F.least("_r", "_s").alias("b")).distinct(), "edges")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 
 import numpy as np
@@ -302,6 +303,37 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
+def join_rows(spark, work):
+    """The rows that the joins of some work make."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    work()
+    bus.waitUntilEmpty()
+    executions, made = store.executionsList(), 0
+    assert 0 < store.executionsCount() - before < 500  # of which the store keeps 1,000
+    for k in range(executions.size() - (store.executionsCount() - before), executions.size()):
+        run = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows":
+                    made += int(values.get(metric.accumulatorId()).getOrElse(None).replace(",", "")) if values.contains(metric.accumulatorId()) else 0
+    return made
+
+
+def test_components_join_the_edges_of_dense_groups_once(spark):
+    rng, at = random.Random(4), list(range(3 * 40))
+    rng.shuffle(at)
+    groups = [at[k : k + 40] for k in range(0, 120, 40)]
+    pairs = [(a, b) for group in groups for a in group for b in group if a < b]
+    pairs += [(groups[0][0], groups[1][0]), (groups[1][1], groups[2][1])]
+    got = {}
+    made = join_rows(spark, lambda: got.update({r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}))
+    assert got == dict.fromkeys(at, 0)
+    assert made < 3 * len(pairs)  # each edge for its two ends, and not in each round again
+
+
 # -- 10: quality rules
 
 
